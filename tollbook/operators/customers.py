@@ -127,7 +127,7 @@ def customer_offer_preferences(
     """Customers by the kind of their most used offer, with their spending on everything.
 
     One pass over the facts serves both: the fold keeps events without a known offer for
-    the spending, and the choice of the offer skips them. Equal use goes by offer name.
+    the spending, and the order puts them last. Equal use goes by offer name.
     """
     use = (
         tables["cdr_events"]
@@ -135,17 +135,15 @@ def customer_offer_preferences(
         .groupBy("cust_num", "offer_name")
         .agg(rows().alias("uses"), F.sum("deduct_amount").alias("spent"))
     )
-    offer_order = F.when(F.col("offer_name").isNotNull(), F.struct(-F.col("uses"), "offer_name"))
+    customer = Window.partitionBy("cust_num")
+    most_used = customer.orderBy(F.col("offer_name").isNull(), F.desc("uses"), "offer_name")
     per_customer = (
-        use.groupBy("cust_num")
-        .agg(
-            F.min_by("offer_name", offer_order).alias("primary_offer"),
-            F.sum("spent").alias("total_spent"),
-        )
-        .filter(F.col("primary_offer").isNotNull())
+        use.withColumn("place", F.row_number().over(most_used))
+        .withColumn("total_spent", F.sum("spent").over(customer))
+        .filter((F.col("place") == 1) & F.col("offer_name").isNotNull())
     )
     return (
-        per_customer.groupBy(category(F.col("primary_offer"), rules).alias("user_segment"))
+        per_customer.groupBy(category(F.col("offer_name"), rules).alias("user_segment"))
         .agg(
             rows().alias("customer_count"),
             mean(F.col("total_spent")).alias("avg_customer_value"),

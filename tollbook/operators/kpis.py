@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tollbook.functions.calendar import shifted
+from tollbook.functions.calendar import trailing
 from tollbook.functions.measures import (
     ratio_or_zero,
     rows,
@@ -17,9 +17,10 @@ from tollbook.functions.measures import (
 from tollbook.sources.tables import Tables
 
 
-def _active(as_of: datetime, years: int) -> Column:
-    recent = F.col("creation_time") >= shifted(as_of, -years, "YEAR")
-    return F.count_distinct(F.when(recent, F.col("cust_num")))
+def _active(tables: Tables, as_of: datetime, years: int) -> Column:
+    """Customers with an event in the last years, read from those years' facts alone."""
+    recent = trailing(tables["cdr_events"], as_of, years, "YEAR")
+    return recent.agg(F.count_distinct("cust_num")).scalar()
 
 
 def _size(table: DataFrame) -> Column:
@@ -33,14 +34,13 @@ def dashboard_kpis(tables: Tables, as_of: datetime, active_years: int = 1) -> Da
         whole(F.col("deduct_amount")).alias("total_revenue"),
         whole(F.col("charge_amount")).alias("total_charges"),
         rows().alias("number_of_operations"),
-        _active(as_of, active_years).alias("active_customers"),
     )
     return sums.select(
         "total_revenue",
         "total_charges",
         F.col("total_revenue").alias("total_deducted"),
         "number_of_operations",
-        "active_customers",
+        _active(tables, as_of, active_years).alias("active_customers"),
         ratio_or_zero(F.col("total_revenue"), _size(tables["customers"])).alias("arpu"),
     )
 
@@ -51,14 +51,13 @@ def kpi_summary(tables: Tables, as_of: datetime, active_years: int = 1) -> DataF
         total_or_zero(usage_amount()).alias("total_revenue"),
         total_or_zero(F.col("charge_amount")).alias("total_charges"),
         rows().alias("number_of_operations"),
-        _active(as_of, active_years).alias("active_customers"),
     )
     return sums.select(
         "total_revenue",
         "total_charges",
         F.col("total_revenue").alias("total_deducted"),
         "number_of_operations",
-        "active_customers",
+        _active(tables, as_of, active_years).alias("active_customers"),
         ratio_or_zero(F.col("total_revenue"), _size(tables["customers"])).alias("arpu"),
     )
 
@@ -97,18 +96,31 @@ def object_types_used(tables: Tables, as_of: datetime | None = None) -> DataFram
 
 
 def overall_stats(tables: Tables, as_of: datetime, active_years: int = 1) -> DataFrame:
-    """Thirteen statistics in one row; the two leaders are flattened to two columns each."""
-    sums = tables["cdr_events"].agg(
-        rows().alias("total_cdr_events"),
-        total_or_zero(usage_amount()).alias("total_revenue"),
-        total_or_zero(F.col("charge_amount")).alias("total_charges"),
-        _active(as_of, active_years).alias("active_customers_year"),
+    """Thirteen statistics in one row; the two leaders are flattened to two columns each.
+
+    Offers and operations are few, so the facts are folded to them before the distinct
+    counts, which then expand the folded rows and not the facts.
+    """
+    folded = (
+        tables["cdr_events"]
+        .groupBy("offer_id", "operation_type_id")
+        .agg(
+            rows().alias("events"),
+            F.sum(usage_amount()).alias("revenue"),
+            F.sum("charge_amount").alias("charges"),
+        )
+    )
+    sums = folded.agg(
+        F.coalesce(F.sum("events"), F.lit(0)).alias("total_cdr_events"),
+        total_or_zero(F.col("revenue")).alias("total_revenue"),
+        total_or_zero(F.col("charges")).alias("total_charges"),
         F.count_distinct("offer_id").alias("unique_active_offers"),
         F.count_distinct("operation_type_id").alias("unique_operation_types"),
     )
     leader = lambda frame: frame.select(F.struct(*frame.columns)).scalar()
     complete = sums.select(
         "*",
+        _active(tables, as_of, active_years).alias("active_customers_year"),
         _size(tables["customers"]).alias("total_customers"),
         _size(tables["offers"]).alias("total_offers"),
         object_types_used(tables).scalar().alias("unique_object_types_used"),

@@ -76,10 +76,18 @@ def _conformed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform.conform(sample_star.raw_tables(spark, sf_dir)[0])
 
 
-def _new_dimensions(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def _staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conformed extract as a written table, for queries that need it several times."""
+    folder = shared_folder(spark, "staged")
+    _conformed(spark, sf_dir).write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def _new_dimensions(
+    spark: SparkSession, sf_dir: str, conformed: DataFrame
+) -> dict[str, DataFrame]:
     """What one extract adds to the dimensions of a store that holds the seeds."""
-    raw, raw_offers = sample_star.raw_tables(spark, sf_dir)
-    conformed, seeds = conform.conform(raw), seed_tables(spark)
+    raw_offers, seeds = sample_star.raw_tables(spark, sf_dir)[1], seed_tables(spark)
     object_types = conform.build_object_types(conformed, seeds["object_types"])
     # The store below is taken to know operations 1 to 3 only, so that 4 and 5 are new.
     known = seeds["operation_types"].filter("operation_type_id <= 3")
@@ -97,7 +105,7 @@ def _new_dimensions(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def _dimension(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _new_dimensions(spark, sf_dir)[name]
+    return _new_dimensions(spark, sf_dir, _conformed(spark, sf_dir))[name]
 
 
 def ingest_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,11 +161,12 @@ def ingest_events_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _amounts_out(conform.new_events(valid, _known_before(valid))).drop("cdr_event_id")
 
 
-def _referenced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dimensions, seeds = _new_dimensions(spark, sf_dir), seed_tables(spark)
-    facts = conform.new_events(conform.drop_invalid(_conformed(spark, sf_dir)))
+def _referenced(
+    spark: SparkSession, conformed: DataFrame, dimensions: dict[str, DataFrame]
+) -> DataFrame:
+    seeds = seed_tables(spark)
     return conform.enforce_references(
-        facts,
+        conform.new_events(conform.drop_invalid(conformed)),
         dimensions["customers"],
         dimensions["objects"].join(dimensions["customers"], "cust_num_bigint", "left_semi"),
         dimensions["offers"].unionByName(seeds["offers"]),
@@ -166,22 +175,28 @@ def _referenced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_fk_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _amounts_out(_referenced(spark, sf_dir)).drop("cdr_event_id")
+    staged = _staged(spark, sf_dir)
+    facts = _referenced(spark, staged, _new_dimensions(spark, sf_dir, staged))
+    return _amounts_out(facts).drop("cdr_event_id")
 
 
 def ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conformed = _conformed(spark, sf_dir)
-    raw_offers = conform.conform_offers(sample_star.raw_tables(spark, sf_dir)[1])
+    staged = _staged(spark, sf_dir)
+    dimensions = _new_dimensions(spark, sf_dir, staged)
     offered = {
-        "customers": conformed.select("cust_num").distinct().na.drop(),
-        "object_types": conformed.select("object_type_code").distinct().na.drop(),
-        "operation_types": conformed.select("operation_type_id").distinct().na.drop(),
-        "offers": raw_offers.select("offer_id").distinct().na.drop(),
-        "objects": conformed.select("object_id").distinct().na.drop(),
-        "cdr_events": conformed,
+        "customers": staged.select("cust_num"),
+        "object_types": staged.select("object_type_code"),
+        "operation_types": staged.select("operation_type_id"),
+        "offers": conform.conform_offers(sample_star.raw_tables(spark, sf_dir)[1]).select(
+            "offer_id"
+        ),
+        "objects": staged.select("object_id"),
     }
-    added = {**_new_dimensions(spark, sf_dir), "cdr_events": _referenced(spark, sf_dir)}
-    return load_summary(offered, added)
+    attempted = {name: keys.distinct().na.drop() for name, keys in offered.items()}
+    return load_summary(
+        {**attempted, "cdr_events": staged},
+        {**dimensions, "cdr_events": _referenced(spark, staged, dimensions)},
+    )
 
 
 def ingest_load(spark: SparkSession, sf_dir: str) -> DataFrame:

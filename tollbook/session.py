@@ -16,10 +16,10 @@ def local_session(cores: int = 8, name: str = "tollbook") -> SparkSession:
         .appName(name)
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

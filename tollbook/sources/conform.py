@@ -53,7 +53,8 @@ def _on_present(frame: DataFrame, columns: Sequence[str], change) -> DataFrame:
 def whole_number(text: Column, kind: str = "bigint") -> Column:
     """An integer written plainly or as ``12.0``; anything else is NULL."""
     number = text.try_cast("decimal(30,6)")
-    return F.when(number == F.floor(number), number.try_cast(kind))
+    written_out = F.when(number == F.floor(number), number.try_cast(kind))
+    return F.coalesce(text.try_cast(kind), written_out)
 
 
 def amount(text: Column) -> Column:
@@ -62,11 +63,17 @@ def amount(text: Column) -> Column:
 
 def wall_clock(text: Column) -> Column:
     """``yyyyMMddHHmmss``, also when a spreadsheet made it ``...00.0``, or an ISO time."""
-    digits = F.regexp_replace(F.trim(text), r"\.0+$", "")
-    spelled = F.regexp_replace(
-        digits, r"^(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})$", "$1-$2-$3 $4:$5:$6"
+    digits = whole_number(text).cast("string")
+
+    def part(start: int, length: int) -> Column:
+        return F.substring(digits, start, length).cast("int")
+
+    from_digits = F.try_make_timestamp_ntz(
+        part(1, 4), part(5, 2), part(7, 2), part(9, 2), part(11, 2), part(13, 2)
+    )
+    return F.when(F.length(digits) == 14, from_digits).when(
+        digits.isNull(), text.try_cast("timestamp_ntz")
     )
-    return spelled.try_cast("timestamp_ntz")
 
 
 def coerce_numeric(frame: DataFrame) -> DataFrame:
