@@ -208,8 +208,8 @@ def ingest_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = sample_star.sample(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    reader = spark.readStream.schema(sample_star.SAMPLE_COLUMNS["events"])
+    return reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
 def _fact_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

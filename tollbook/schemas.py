@@ -103,8 +103,14 @@ def literal_rows(spark: SparkSession, rows: list[tuple], schema: T.StructType) -
         return str(value)
 
     body = ", ".join("(" + ", ".join(literal(v) for v in row) + ")" for row in rows)
-    frame = spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(schema.names)})")
-    return frame.select([frame[f.name].cast(f.dataType).alias(f.name) for f in schema])
+    typed = ", ".join(f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in schema)
+    return spark.sql(f"SELECT {typed} FROM VALUES {body} AS t({', '.join(schema.names)})")
+
+
+def no_rows(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """An empty table of one partition."""
+    columns = [f"CAST(NULL AS {f.dataType.simpleString()}) AS {f.name}" for f in schema]
+    return spark.range(0, 0, 1, 1).selectExpr(*columns)
 
 
 def seed_tables(spark: SparkSession) -> dict[str, DataFrame]:

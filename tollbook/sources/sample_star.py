@@ -8,6 +8,7 @@ customers and offers). Orphans, NULLs and lookup rows without facts are part of
 from __future__ import annotations
 
 import os
+from collections.abc import Callable, Iterator, Mapping
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,19 +36,50 @@ _OFFER_SLOTS = T.StructType(
 )
 
 
+# The columns read from the sample tables. Naming them saves a look into the files.
+SAMPLE_COLUMNS = {
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+    "value double, props string",
+    "customer": "c_custkey bigint, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_shipdate timestamp_ntz",
+    "part": "p_partkey bigint, p_name string",
+}
+
+
 def sample(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    return spark.read.schema(SAMPLE_COLUMNS[name]).parquet(path)
+
+
+class SampleTables(Mapping):
+    """Tables that are put together when they are asked for."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]):
+        self._makers = makers
+        self._made: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
 
+    def __len__(self) -> int:
+        return len(self._makers)
 
-def _lookups(spark: SparkSession) -> Tables:
+
+def _lookups(spark: SparkSession) -> dict[str, Callable[[], DataFrame]]:
+    types = SEED_OBJECT_TYPES + [(4, "X", "Unused")]
+    operations = SEED_OPERATION_TYPES + [(9, "Unused")]
     return {
-        "offers": literal_rows(spark, SEED_OFFERS, OFFERS),
-        "object_types": literal_rows(
-            spark, SEED_OBJECT_TYPES + [(4, "X", "Unused")], OBJECT_TYPES
-        ),
-        "operation_types": literal_rows(
-            spark, SEED_OPERATION_TYPES + [(9, "Unused")], OPERATION_TYPES
-        ),
+        "offers": lambda: literal_rows(spark, SEED_OFFERS, OFFERS),
+        "object_types": lambda: literal_rows(spark, types, OBJECT_TYPES),
+        "operation_types": lambda: literal_rows(spark, operations, OPERATION_TYPES),
     }
 
 
@@ -55,11 +87,9 @@ def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         sample(spark, sf_dir, "customer")
         .filter("c_custkey % 50 <> 7")
-        .select(
-            F.col("c_custkey").alias("cust_num_bigint"),
-            F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), "A")
-            .otherwise("S")
-            .alias("cust_type"),
+        .selectExpr(
+            "c_custkey AS cust_num_bigint",
+            "IF(c_mktsegment IN ('BUILDING', 'MACHINERY'), 'A', 'S') AS cust_type",
         )
     )
 
@@ -79,27 +109,35 @@ def _with_offer(frame: DataFrame, slot: str) -> DataFrame:
 
 
 def _typed(frame: DataFrame, schema: T.StructType) -> DataFrame:
-    return frame.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+    return frame.selectExpr(
+        *[f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in schema]
+    )
 
 
 def events_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    facts = facts_of_events(sample(spark, sf_dir, "events"))
+    facts = lambda: facts_of_events(sample(spark, sf_dir, "events"))
+    return SampleTables(
+        {
+            **_lookups(spark),
+            "customers": lambda: _customers(spark, sf_dir),
+            "objects": lambda: _objects_of_events(facts()),
+            "cdr_events": facts,
+        }
+    )
+
+
+def _objects_of_events(facts: DataFrame) -> DataFrame:
     objects = (
         facts.groupBy("object_id", "cust_num")
         .agg(F.max("current_amount_expire_time").alias("expiry_date"))
-        .select(
-            F.col("object_id").alias("object_id_bigint"),
-            F.col("cust_num").alias("cust_num_bigint"),
-            (F.col("object_id") % 10 + 1).alias("object_type_id"),
+        .selectExpr(
+            "object_id AS object_id_bigint",
+            "cust_num AS cust_num_bigint",
+            "object_id % 10 + 1 AS object_type_id",
             "expiry_date",
         )
     )
-    return {
-        **_lookups(spark),
-        "customers": _customers(spark, sf_dir),
-        "objects": _typed(objects, OBJECTS),
-        "cdr_events": facts,
-    }
+    return _typed(objects, OBJECTS)
 
 
 def facts_of_events(events: DataFrame) -> DataFrame:
@@ -141,7 +179,18 @@ def facts_of_events(events: DataFrame) -> DataFrame:
 
 
 def lineitem_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    orders = sample(spark, sf_dir, "orders")
+    orders = lambda: sample(spark, sf_dir, "orders")
+    return SampleTables(
+        {
+            **_lookups(spark),
+            "customers": lambda: _customers(spark, sf_dir),
+            "objects": lambda: _objects_of_orders(orders()),
+            "cdr_events": lambda: _facts_of_lineitem(sample(spark, sf_dir, "lineitem"), orders()),
+        }
+    )
+
+
+def _objects_of_orders(orders: DataFrame) -> DataFrame:
     objects = orders.selectExpr(
         "o_orderkey AS object_id_bigint",
         "o_custkey AS cust_num_bigint",
@@ -150,16 +199,11 @@ def lineitem_tables(spark: SparkSession, sf_dir: str) -> Tables:
                 THEN o_orderdate + make_dt_interval(CAST(o_orderkey % 730 AS INT)) END
            AS expiry_date""",
     )
-    return {
-        **_lookups(spark),
-        "customers": _customers(spark, sf_dir),
-        "objects": _typed(objects, OBJECTS),
-        "cdr_events": _facts_of_lineitem(spark, sf_dir, orders),
-    }
+    return _typed(objects, OBJECTS)
 
 
-def _facts_of_lineitem(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFrame:
-    lines = sample(spark, sf_dir, "lineitem").join(orders, F.expr("l_orderkey = o_orderkey"))
+def _facts_of_lineitem(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+    lines = lineitem.join(orders, F.expr("l_orderkey = o_orderkey"))
     # Every fourth customer never takes a loan: slots 7-13 are moved to 0-6.
     slotted = lines.withColumn(
         "slot_number",

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tollbook.functions.calendar import month_of
-from tollbook.schemas import EVENT_MONTH, LAYOUTS, seed_tables
+from tollbook.schemas import EVENT_MONTH, LAYOUTS, no_rows, seed_tables
 
-Tables = dict[str, DataFrame]
+Tables = Mapping[str, DataFrame]
 
 
 def table_path(root: str, name: str) -> str:
@@ -76,7 +77,7 @@ def create_store(spark: SparkSession, root: str) -> None:
 
 
 def _write_empty(spark: SparkSession, root: str, name: str) -> None:
-    writer = spark.createDataFrame([], LAYOUTS[name]).write.mode("overwrite")
+    writer = no_rows(spark, LAYOUTS[name]).write.mode("overwrite")
     if name == "cdr_events":
         writer = writer.option("partitionOverwriteMode", "static").partitionBy(EVENT_MONTH)
     writer.parquet(table_path(root, name))
