@@ -143,7 +143,7 @@ def test_journey_stages_at_their_borders(star):
     assert {r["pct_initial"] for r in funnel} == {100.0}
 
 
-def test_sequence_runs_on_across_hours(star):
+def test_sequence_runs_on_across_minutes(star):
     events = [event(i, 1, NOW - timedelta(minutes=20 * i), offer_id=1) for i in range(10)]
     got = customers.journey_sequence(star(events, offers=CATALOGUE), NOW).collect()
     ordered = sorted(got, key=lambda r: r["creation_time"])

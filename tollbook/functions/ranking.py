@@ -93,9 +93,10 @@ def nearest_rank(frame: DataFrame, column: str, shares: dict[str, Decimal]) -> C
         .drop("reached")
     )
     ascending_values = Window.partitionBy("name").orderBy(F.asc_nulls_first("value"))
+    # One row per wanted share, so the broadcast has a fixed size.
     located = (
         counted.alias("c")
-        .join(holding.alias("h"), F.col("c.bucket").eqNullSafe(F.col("h.bucket")))
+        .join(F.broadcast(holding).alias("h"), F.col("c.bucket").eqNullSafe(F.col("h.bucket")))
         .select("name", "value", "n", "before", "position")
         .withColumn("reached", F.col("before") + F.sum("n").over(ascending_values))
         .filter(

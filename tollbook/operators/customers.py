@@ -206,12 +206,7 @@ def _journey_stage(days: Column) -> Column:
     return stage
 
 
-def customer_journey(tables: Tables, as_of: datetime, months: int = 6) -> DataFrame:
-    """Activity by days since a customer's first offer event in the trailing window.
-
-    Stages depend on dates only, so the facts are folded to customer, offer and date, and
-    the window that finds the first date runs over those folded rows.
-    """
+def _journey(tables: Tables, as_of: datetime, months: int) -> DataFrame:
     daily = (
         trailing(tables["cdr_events"], as_of, months, "MONTH")
         .join(tables["offers"], "offer_id")
@@ -228,38 +223,47 @@ def customer_journey(tables: Tables, as_of: datetime, months: int = 6) -> DataFr
             F.count_distinct("offer_name").alias("offers_tried"),
         )
     )
-    return (
-        per_stage.groupBy("journey_stage")
-        .agg(
-            rows().alias("customers_count"),
-            mean(F.col("events")).alias("avg_transactions"),
-            mean(F.col("spent")).alias("avg_spending"),
-            mean(F.col("offers_tried")).alias("avg_offers_tried"),
-            total(F.col("spent")).alias("total_stage_revenue"),
-        )
-        .orderBy(ordinal(F.col("journey_stage"), STAGE_LABELS))
+    return per_stage.groupBy("journey_stage").agg(
+        rows().alias("customers_count"),
+        mean(F.col("events")).alias("avg_transactions"),
+        mean(F.col("spent")).alias("avg_spending"),
+        mean(F.col("offers_tried")).alias("avg_offers_tried"),
+        total(F.col("spent")).alias("total_stage_revenue"),
     )
 
 
+def customer_journey(tables: Tables, as_of: datetime, months: int = 6) -> DataFrame:
+    """Activity by days since a customer's first offer event in the trailing window.
+
+    Stages depend on dates only, so the facts are folded to customer, offer and date, and
+    the window that finds the first date runs over those folded rows.
+    """
+    in_order = ordinal(F.col("journey_stage"), STAGE_LABELS)
+    return _journey(tables, as_of, months).orderBy(in_order)
+
+
 def journey_funnel(tables: Tables, as_of: datetime, months: int = 6) -> DataFrame:
     """Customers of each stage as a percentage of the first stage that has any."""
-    stages = customer_journey(tables, as_of, months)
-    # At most four rows: one per stage.
-    in_order = Window.orderBy(ordinal(F.col("journey_stage"), STAGE_LABELS))
-    first = F.first("customers_count").over(in_order)
-    return stages.select(
-        "journey_stage",
-        "customers_count",
-        (safe_ratio(F.col("customers_count"), first) * 100).alias("pct_initial"),
+    # At most four rows, one per stage, so one task may hold and order them.
+    in_order = ordinal(F.col("journey_stage"), STAGE_LABELS)
+    first = F.first("customers_count").over(Window.orderBy(in_order))
+    return (
+        _journey(tables, as_of, months)
+        .select(
+            "journey_stage",
+            "customers_count",
+            (safe_ratio(F.col("customers_count"), first) * 100).alias("pct_initial"),
+        )
+        .orderBy(in_order)
     )
 
 
 def journey_sequence(tables: Tables, as_of: datetime, months: int = 6) -> DataFrame:
     """Every offer event of the window with its number in the customer's sequence.
 
-    Events are numbered inside customer-hours, and customer-hours are offset by the events
-    of the hours before. Only the folded hours of a customer ever meet in one task, not the
-    events. Events at the same instant go by event id, offer and amount.
+    Events are numbered inside customer-minutes, and each minute is offset by the events of
+    the minutes before. Only the folded minutes of a customer ever meet in one task, never
+    the events. Events at the same instant go by event id, offer and amount.
     """
     events = (
         trailing(tables["cdr_events"], as_of, months, "MONTH")
@@ -271,30 +275,30 @@ def journey_sequence(tables: Tables, as_of: datetime, months: int = 6) -> DataFr
             "deduct_amount",
             "cdr_event_id",
             day_of(F.col("creation_time")).alias("day"),
-            F.hour("creation_time").alias("hour"),
+            (F.hour("creation_time") * 60 + F.minute("creation_time")).alias("minute"),
         )
     )
     by_customer = Window.partitionBy("cust_num")
-    earlier = by_customer.orderBy("day", "hour").rowsBetween(Window.unboundedPreceding, -1)
-    hours = (
-        events.groupBy("cust_num", "day", "hour")
+    earlier = by_customer.orderBy("day", "minute").rowsBetween(Window.unboundedPreceding, -1)
+    minutes = (
+        events.groupBy("cust_num", "day", "minute")
         .agg(rows().alias("n"))
         .select(
             "cust_num",
             "day",
-            "hour",
+            "minute",
             F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"),
             F.min("day").over(by_customer).alias("first_day"),
         )
     )
-    inside_hour = Window.partitionBy("cust_num", "day", "hour").orderBy(
+    inside_minute = Window.partitionBy("cust_num", "day", "minute").orderBy(
         "creation_time", "cdr_event_id", "offer_name", "deduct_amount"
     )
-    return events.join(hours, ["cust_num", "day", "hour"]).select(
+    return events.join(minutes, ["cust_num", "day", "minute"]).select(
         "cust_num",
         "creation_time",
         "offer_name",
         F.col("deduct_amount").cast("double").alias("deduct_amount"),
-        (F.col("before") + F.row_number().over(inside_hour)).alias("transaction_sequence"),
+        (F.col("before") + F.row_number().over(inside_minute)).alias("transaction_sequence"),
         F.datediff("day", "first_day").cast("bigint").alias("days_from_first_transaction"),
     )
