@@ -13,14 +13,10 @@ from conftest import rows_of
 from tollbook.schemas import seed_tables
 from tollbook.sources import conform
 from tollbook.sources.load import load_extract
+from tollbook.sources.raw import FACT_HEADERS as HEADERS
 from tollbook.sources.raw import read_raw
 from tollbook.sources.tables import create_store, load_table, load_tables, reset_facts
 
-HEADERS = [
-    "CDR_ID", "CREATION_TIME", "CUST_NUM", "CUST_TYPE", "OBJECT_ID", "OBJECT_type",
-    "OPERATION_TYPE", "OFFER_ID", "DEDUCT_AMOUNT", "CHARGE_AMOUNT", "CURENT_AMOUNT",
-    "CURENT_AMOUNT.2", "CHARGE_AMOUNT_EXPIRE_TIME", "CURENT_AMOUNT_EXPIRE_TIME",
-]
 GOOD = [
     "1", "20240101120000", "100", "S", "1000", "F", "1", "1482110", "1.50", "0", "5", "3.50",
     None, "20240201000000",
@@ -211,6 +207,13 @@ def test_raw_formats(spark, raw, tmp_path, fmt):
     assert {r["deduct_amount"] for r in rows_of(conformed)} == {Decimal("1.50")}
 
 
+def test_named_json_columns(spark, raw, tmp_path):
+    path = str(tmp_path / "json")
+    raw({"OFFER_ID": None}).write.json(path)
+    back = read_raw(spark, path, "json", columns=HEADERS)
+    assert back.columns == list(HEADERS) and only(back)["OFFER_ID"] is None
+
+
 def test_unknown_raw_format(spark):
     with pytest.raises(ValueError, match="xlsx"):
         read_raw(spark, "x", "xlsx")

@@ -6,10 +6,10 @@ import os
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import NOW, event, rows_of
 from tollbook.schemas import CDR_EVENTS
+from tollbook.sources.raw import FACT_HEADERS
 from tollbook.sources.tables import create_store, load_table
 from tollbook.streaming.activity import activity_stream, append_to_files
 from tollbook.streaming.freshness import freshness_stream, latest_health
@@ -85,14 +85,8 @@ def test_freshness_follows_the_newest_fact(spark, tmp_path):
 
 
 def test_stream_ingest_skips_what_is_stored(spark, tmp_path):
-    headers = [
-        "CDR_ID", "CREATION_TIME", "CUST_NUM", "CUST_TYPE", "OBJECT_ID", "OBJECT_type",
-        "OPERATION_TYPE", "OFFER_ID", "DEDUCT_AMOUNT", "CHARGE_AMOUNT", "CURENT_AMOUNT",
-        "CURENT_AMOUNT.2", "CHARGE_AMOUNT_EXPIRE_TIME", "CURENT_AMOUNT_EXPIRE_TIME",
-    ]
-
     def drop_file(ids, name):
-        lines = [",".join(headers)]
+        lines = [",".join(FACT_HEADERS)]
         lines += [f"{i},20240101120000,100,S,1000,F,1,,1.5,0,5,3.5,,20240201000000" for i in ids]
         folder = tmp_path / "in"
         folder.mkdir(exist_ok=True)
@@ -100,7 +94,7 @@ def test_stream_ingest_skips_what_is_stored(spark, tmp_path):
 
     root, checkpoint = str(tmp_path / "store"), str(tmp_path / "c")
     create_store(spark, root)
-    schema = ", ".join(f"`{h}` string" for h in headers)
+    schema = ", ".join(f"`{h}` string" for h in FACT_HEADERS)
 
     def run():
         raw = spark.readStream.schema(schema).option("header", True).csv(str(tmp_path / "in"))

@@ -41,13 +41,18 @@ def trailing(facts: DataFrame, as_of: datetime, amount: int, unit: str) -> DataF
     return kept
 
 
-def month_of(time: Column) -> Column:
-    return F.date_format(F.to_date(time), "yyyy-MM")
+def month_start(time: Column) -> Column:
+    """The first day of the month: a key of four bytes for folds over many rows."""
+    return F.trunc(F.to_date(time), "MM")
+
 
+def month_label(day: Column) -> Column:
+    """``yyyy-MM``, for folded rows."""
+    return F.date_format(day, "yyyy-MM")
 
-def weekday_of(time: Column) -> Column:
-    """The full English day name."""
-    return F.date_format(F.to_date(time), "EEEE")
+
+def month_of(time: Column) -> Column:
+    return month_label(F.to_date(time))
 
 
 def day_of(time: Column) -> Column:

@@ -47,7 +47,9 @@ def _magnitude_bucket(value: Column) -> Column:
     )
 
 
-def nearest_rank(frame: DataFrame, column: str, shares: dict[str, Decimal]) -> Column:
+def nearest_rank(
+    frame: DataFrame, column: str, shares: dict[str, Decimal], counted_where: Column | None = None
+) -> Column:
     """Exact nearest-rank percentiles of a decimal amount column, as one scalar struct.
 
     Each is the value at position ``ceil(share * rows)`` in ascending order, NULLs first. No
@@ -56,10 +58,13 @@ def nearest_rank(frame: DataFrame, column: str, shares: dict[str, Decimal]) -> C
     all amounts up to a billion) are accumulated to find those that hold the wanted
     positions, and only the values of those buckets are put in order. A bucket spans less
     than 0.07 percent of its amounts, in steps of a cent, however many rows fall into it.
+
+    ``counted_where`` limits the rows that count.
     """
+    one_row = F.lit(1) if counted_where is None else F.when(counted_where, 1)
     counted = (
         frame.groupBy(F.col(column).alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(one_row).alias("n"))
         .withColumn("bucket", _magnitude_bucket(F.col("value")))
     )
     ascending_buckets = Window.orderBy(F.asc_nulls_first("bucket"))

@@ -13,7 +13,8 @@ from tollbook.functions.calendar import (
     days_between,
     hours_between,
     moment,
-    month_of,
+    month_label,
+    month_start,
     trailing,
 )
 from tollbook.functions.categories import (
@@ -97,12 +98,13 @@ def _monthly_offers(tables: Tables, as_of: datetime, months: int) -> DataFrame:
     return (
         trailing(tables["cdr_events"], as_of, months, "MONTH")
         .join(tables["offers"], "offer_id")
-        .groupBy(month_of(F.col("creation_time")).alias("month"), "offer_name")
+        .groupBy(month_start(F.col("creation_time")).alias("month"), "offer_name")
         .agg(
             F.count_distinct("cust_num").alias("unique_subscribers"),
             rows().alias("total_subscriptions"),
             total(F.col("deduct_amount")).alias("monthly_revenue"),
         )
+        .withColumn("month", month_label(F.col("month")))
     )
 
 

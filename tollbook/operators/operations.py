@@ -13,7 +13,6 @@ from tollbook.functions.calendar import (
     moment,
     shifted,
     trailing,
-    weekday_of,
 )
 from tollbook.functions.categories import (
     NETWORK_DATA_FRAGMENTS,
@@ -94,45 +93,48 @@ def daily_series(tables: Tables, as_of: datetime, years: int = 5) -> DataFrame:
     )
 
 
+# Day names from day 1 on, and the heatmap's columns.
+WEEKDAYS = ("Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday")
+
+
+def _by_hour_and_weekday(tables: Tables, as_of: datetime, months: int) -> DataFrame:
+    created = F.col("creation_time")
+    return trailing(tables["cdr_events"], as_of, months, "MONTH").select(
+        F.hour(created).cast("bigint").alias("hour_of_day"),
+        F.dayofweek(F.to_date(created)).cast("bigint").alias("day_num"),
+        "deduct_amount",
+        "cust_num",
+    )
+
+
 def usage_patterns(tables: Tables, as_of: datetime, months: int = 3) -> DataFrame:
     """Events, revenue and customers per hour of the day and day of the week."""
-    created = F.col("creation_time")
+    names = F.array(*[F.lit(day) for day in WEEKDAYS])
     return (
-        trailing(tables["cdr_events"], as_of, months, "MONTH")
-        .groupBy(
-            F.hour(created).cast("bigint").alias("hour_of_day"),
-            weekday_of(created).alias("day_of_week"),
-            F.dayofweek(F.to_date(created)).cast("bigint").alias("day_num"),
-        )
+        _by_hour_and_weekday(tables, as_of, months)
+        .groupBy("hour_of_day", "day_num")
         .agg(
             rows().alias("event_count"),
             total(F.col("deduct_amount")).alias("total_revenue"),
             F.count_distinct("cust_num").alias("active_customers"),
             mean(F.col("deduct_amount")).alias("avg_transaction_amount"),
         )
+        .withColumn("day_of_week", F.element_at(names, F.col("day_num").cast("int")))
         .orderBy("day_num", "hour_of_day")
     )
 
 
-# The heatmap's columns.
-WEEKDAYS = ("Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday")
-
-
 def usage_heatmap(tables: Tables, as_of: datetime, months: int = 3) -> DataFrame:
     """Event counts with one row per hour and one column per weekday."""
-    created = F.col("creation_time")
-    return (
-        trailing(tables["cdr_events"], as_of, months, "MONTH")
-        .select(
-            F.hour(created).cast("bigint").alias("hour_of_day"),
-            weekday_of(created).alias("day_of_week"),
-        )
+    numbers = list(range(1, len(WEEKDAYS) + 1))
+    counts = (
+        _by_hour_and_weekday(tables, as_of, months)
         .groupBy("hour_of_day")
-        .pivot("day_of_week", list(WEEKDAYS))
+        .pivot("day_num", numbers)
         .agg(rows())
-        .na.fill(0, list(WEEKDAYS))
-        .orderBy("hour_of_day")
+        .na.fill(0)
     )
+    return counts.toDF("hour_of_day", *WEEKDAYS).orderBy("hour_of_day")
 
 
 def expiry_forecast(

@@ -9,7 +9,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tollbook.functions.calendar import month_of, trailing
+from tollbook.functions.calendar import month_label, month_start, trailing
 from tollbook.functions.categories import LOAN_FRAGMENTS, mentions
 from tollbook.functions.measures import (
     USAGE_OPERATIONS,
@@ -35,13 +35,14 @@ def revenue_by_offer_month(
     folded = (
         tables["cdr_events"]
         .filter(F.col("operation_type_id").isin(*operations))
-        .groupBy(month_of(F.col("creation_time")).alias("month"), "offer_id")
+        .groupBy(month_start(F.col("creation_time")).alias("month"), "offer_id")
         .agg(F.sum("deduct_amount").alias("deducted"))
     )
     return (
         folded.join(tables["offers"], "offer_id", "left")
         .groupBy("month", "offer_name")
         .agg(total_or_zero(F.col("deducted")).alias("revenue"))
+        .withColumn("month", month_label(F.col("month")))
         .orderBy("month", "offer_name")
     )
 
@@ -50,7 +51,7 @@ def _monthly_by_type(tables: Tables, as_of: datetime, months: int) -> DataFrame:
     """Deductions per month and customer type, by way of one row per customer and month."""
     per_customer = (
         trailing(tables["cdr_events"], as_of, months, "MONTH")
-        .groupBy("cust_num", month_of(F.col("creation_time")).alias("month"))
+        .groupBy("cust_num", month_start(F.col("creation_time")).alias("month"))
         .agg(
             F.sum("deduct_amount").alias("deducted"),
             F.count("deduct_amount").alias("deductions"),
@@ -66,6 +67,7 @@ def _monthly_by_type(tables: Tables, as_of: datetime, months: int) -> DataFrame:
             F.sum("events").alias("events"),
             rows().alias("customers"),
         )
+        .withColumn("month", month_label(F.col("month")))
     )
 
 
@@ -106,7 +108,7 @@ def balance_flow(tables: Tables, as_of: datetime, months: int = 12) -> DataFrame
     deducted = F.sum(zero_if_null(F.col("deduct_amount")))
     return (
         trailing(tables["cdr_events"], as_of, months, "MONTH")
-        .groupBy(month_of(F.col("creation_time")).alias("month"))
+        .groupBy(month_start(F.col("creation_time")).alias("month"))
         .agg(
             charged.cast("double").alias("total_charged"),
             deducted.cast("double").alias("total_deducted"),
@@ -114,6 +116,7 @@ def balance_flow(tables: Tables, as_of: datetime, months: int = 12) -> DataFrame
             mean(F.col("current_amount_post")).alias("avg_final_balance"),
             F.count_distinct("cust_num").alias("active_customers"),
         )
+        .withColumn("month", month_label(F.col("month")))
         .orderBy("month")
     )
 

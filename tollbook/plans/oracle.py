@@ -520,6 +520,13 @@ FROM facts GROUP BY window_start, window_end
 HAVING window_end <= (SELECT max(creation_time) FROM facts) - INTERVAL 1 HOUR"""
 
 
+ON_EVENTS["table_append"] = """
+SELECT cdr_event_id, cdr_event_id::VARCHAR AS cdr_id, creation_time, cust_num, object_id, offer_id,
+       operation_type_id, deduct_amount::DOUBLE AS deduct_amount,
+       charge_amount::DOUBLE AS charge_amount, current_amount_pre::DOUBLE AS current_amount_pre,
+       current_amount_post::DOUBLE AS current_amount_post, charge_expire_time,
+       current_amount_expire_time, strftime(creation_time, '%Y-%m') AS event_month
+FROM facts"""
 ON_EVENTS["stream_activity"] = _windows("hour")
 ON_EVENTS["stream_activity_daily"] = _windows("day")
 
@@ -830,6 +837,7 @@ def _counted(table: str, offered: str, added: str) -> str:
 
 
 INGEST = {
+    "raw_source": f"{RAW} SELECT * FROM raw",
     "ingest_normalize": f"{RAW} SELECT * FROM raw",
     "ingest_rename": f"{RAW} SELECT * FROM named",
     "ingest_project": f"{RAW} SELECT * EXCLUDE (cust_type, object_type_code) FROM named",

@@ -14,7 +14,8 @@ from tollbook.schemas import seed_tables
 from tollbook.session import shared_folder
 from tollbook.sources import conform, sample_star
 from tollbook.sources.load import load_extract, load_summary
-from tollbook.sources.tables import create_store, load_table
+from tollbook.sources.raw import FACT_HEADERS, read_raw
+from tollbook.sources.tables import append_table, create_store, load_table
 from tollbook.streaming.activity import activity_stream, append_to_files
 from tollbook.streaming.freshness import freshness_stream, latest_health
 from tollbook.streaming.ingest import ingest_stream
@@ -108,6 +109,25 @@ def _dimension(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return _new_dimensions(spark, sf_dir, _conformed(spark, sf_dir))[name]
 
 
+def raw_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The extract written to JSON lines and read back as a raw source."""
+    folder = shared_folder(spark, "extract")
+    sample_star.raw_tables(spark, sf_dir)[0].write.json(folder)
+    back = read_raw(spark, folder, "json", columns=FACT_HEADERS)
+    return conform.normalize_headers(back)
+
+
+def table_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts appended to a new store in two parts and scanned back."""
+    root = shared_folder(spark, "store")
+    create_store(spark, root)
+    facts = sample_star.events_tables(spark, sf_dir)["cdr_events"]
+    middle = "TIMESTAMP_NTZ '2024-01-16 00:00:00'"
+    append_table(facts.filter(f"creation_time < {middle}"), root, "cdr_events")
+    append_table(facts.filter(f"creation_time >= {middle}"), root, "cdr_events")
+    return _amounts_out(load_table(spark, root, "cdr_events"))
+
+
 def ingest_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform.normalize_headers(sample_star.raw_tables(spark, sf_dir)[0])
 
@@ -246,6 +266,8 @@ def stream_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ingest_queries() -> dict[str, Query]:
     steps = (
+        raw_source,
+        table_append,
         ingest_normalize,
         ingest_rename,
         ingest_project,

@@ -31,11 +31,6 @@ from tollbook.sources.tables import Tables
 EVENTS_AS_OF = datetime(2024, 1, 30, 23, 30)
 LINEITEM_AS_OF = datetime(2001, 7, 1)
 
-_OFFER_SLOTS = T.StructType(
-    [T.StructField("slot", T.IntegerType()), T.StructField("slot_offer_id", T.IntegerType())]
-)
-
-
 # The columns read from the sample tables. Naming them saves a look into the files.
 SAMPLE_COLUMNS = {
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
@@ -94,18 +89,11 @@ def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _with_offer(frame: DataFrame, slot: str) -> DataFrame:
+def _offer_at(slot: str) -> str:
     """Slots 0-13 hold the first fourteen offers, 14-15 none, 16-17 an unknown one."""
-    slots = literal_rows(
-        frame.sparkSession,
-        [(place, offer_id) for place, (offer_id, _) in enumerate(SEED_OFFERS)],
-        _OFFER_SLOTS,
-    )
-    offer_id = F.expr(
-        f"CASE WHEN {slot} < 14 THEN slot_offer_id WHEN {slot} < 16 THEN NULL ELSE 9999999 END"
-    )
-    joined = frame.join(slots, frame[slot] == slots["slot"], "left")
-    return joined.withColumn("offer_id", offer_id)
+    ids = ", ".join(str(offer_id) for offer_id, _ in SEED_OFFERS[:14])
+    return f"""CASE WHEN {slot} < 14 THEN element_at(array({ids}), {slot} + 1)
+                    WHEN {slot} < 16 THEN NULL ELSE 9999999 END"""
 
 
 def _typed(frame: DataFrame, schema: T.StructType) -> DataFrame:
@@ -153,13 +141,13 @@ def facts_of_events(events: DataFrame) -> DataFrame:
     )
     priced = numbered.selectExpr(
         "*",
-        "k % 18 AS slot_number",
+        f"{_offer_at('k % 18')} AS offer_id",
         """CASE WHEN event_id % 97 = 0 THEN NULL
                 WHEN operation > 3 THEN CAST(0 AS DECIMAL(15,2))
                 WHEN event_id % 211 = 0 THEN CAST(-v AS DECIMAL(15,2)) ELSE v END AS deducted""",
         "CASE WHEN operation > 3 THEN v ELSE CAST(0 AS DECIMAL(15,2)) END AS charged",
     )
-    facts = _with_offer(priced, "slot_number").selectExpr(
+    facts = priced.selectExpr(
         "event_id AS cdr_event_id",
         "CAST(event_id AS STRING) AS cdr_id",
         "ts AS creation_time",
@@ -206,7 +194,7 @@ def _facts_of_lineitem(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     lines = lineitem.join(orders, F.expr("l_orderkey = o_orderkey"))
     # Every fourth customer never takes a loan: slots 7-13 are moved to 0-6.
     slotted = lines.withColumn(
-        "slot_number",
+        "slot",
         F.expr(
             """CAST(CASE WHEN o_custkey % 4 = 0 AND l_partkey % 18 BETWEEN 7 AND 13
                          THEN l_partkey % 18 - 7 ELSE l_partkey % 18 END AS INT)"""
@@ -214,13 +202,13 @@ def _facts_of_lineitem(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     )
     price = "CAST(l_extendedprice AS DECIMAL(15,2))"
     nothing = "CAST(0 AS DECIMAL(15,2))"
-    facts = _with_offer(slotted, "slot_number").selectExpr(
+    facts = slotted.selectExpr(
         "l_orderkey * 10 + l_linenumber AS cdr_event_id",
         "CAST(l_orderkey * 10 + l_linenumber AS STRING) AS cdr_id",
         "o_orderdate + make_dt_interval(0, l_linenumber) AS creation_time",
         "o_custkey AS cust_num",
         "o_orderkey AS object_id",
-        "offer_id",
+        f"{_offer_at('slot')} AS offer_id",
         "l_linenumber AS operation_type_id",
         f"CASE WHEN l_linenumber <= 3 THEN {price} ELSE {nothing} END AS deduct_amount",
         f"CASE WHEN l_linenumber > 3 THEN {price} ELSE {nothing} END AS charge_amount",
