@@ -9,13 +9,19 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows_of
+from conftest import event, rows_of
 from tollbook.schemas import seed_tables
 from tollbook.sources import conform
 from tollbook.sources.load import load_extract
 from tollbook.sources.raw import FACT_HEADERS as HEADERS
 from tollbook.sources.raw import read_raw
-from tollbook.sources.tables import create_store, load_table, load_tables, reset_facts
+from tollbook.sources.tables import (
+    append_table,
+    create_store,
+    load_table,
+    load_tables,
+    reset_facts,
+)
 
 GOOD = [
     "1", "20240101120000", "100", "S", "1000", "F", "1", "1482110", "1.50", "0", "5", "3.50",
@@ -167,6 +173,15 @@ def test_repeated_load_adds_nothing(spark, raw, tmp_path):
     assert spark.read.parquet(os.path.join(root, "_quarantine", "*")).count() == 2
 
 
+def test_a_load_leaves_few_files(spark, star, tmp_path):
+    root = store(spark, str(tmp_path / "s"))
+    events = [event(i, i % 9, datetime(2024, 1 + i % 3, 1 + i % 28)) for i in range(900)]
+    append_table(star(events)["cdr_events"].repartition(16), root, "cdr_events")
+    months = sorted((tmp_path / "s" / "cdr_events").glob("event_month=*"))
+    assert [m.name[-7:] for m in months] == ["2024-01", "2024-02", "2024-03"]
+    assert all(len(list(m.glob("*.parquet"))) == 1 for m in months)
+
+
 def test_earliest_record_of_an_id_wins(spark, raw):
     valid = conform.drop_invalid(
         conform.conform(raw({"CREATION_TIME": "20240105000000"}, {"CREATION_TIME": "20240102000000"}))

@@ -123,3 +123,15 @@ def test_facts_are_folded_before_the_first_shuffle(stored, name):
                     assert "partial_" in lines[parent + 1]
                     break
                 above = parent
+
+
+def test_spending_folds_the_facts_once(stored):
+    report = REPORTS["customer_spending_segments"](stored, AS_OF)
+    report.collect()
+    assert "ReusedExchange [cust_num" in plan_of(report)
+
+
+@pytest.mark.parametrize("name", ["customer_recent_events", "object_profile"])
+def test_top_rows_are_cut_before_the_shuffle(stored, name):
+    plan = plan_of(REPORTS[name](stored, AS_OF))
+    assert "row_number(), 100, Partial" in plan and "_salt" in plan

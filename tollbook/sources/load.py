@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,18 @@ def load_summary(attempted: dict[str, DataFrame], inserted: dict[str, DataFrame]
     return summary
 
 
+def rows_seen(observation: Observation) -> int:
+    """The rows of a finished write.
+
+    When Spark finds out on the way that there is nothing to write, no task runs and there are
+    no metrics to convert.
+    """
+    try:
+        return observation.get["n"]
+    except Py4JJavaError:
+        return 0
+
+
 def load_extract(
     spark: SparkSession,
     root: str,
@@ -57,7 +70,7 @@ def load_extract(
     def add(name: str, rows: DataFrame) -> None:
         seen = Observation()
         append_table(rows.observe(seen, F.count(F.lit(1)).alias("n")), root, name)
-        added[name] = seen.get["n"]
+        added[name] = rows_seen(seen)
 
     labels = seed_tables(spark)["operation_types"]
     add("customers", conform.build_customers(staged, stored("customers")))

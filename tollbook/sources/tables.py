@@ -51,13 +51,16 @@ def load_jdbc_table(
 def append_table(frame: DataFrame, root: str, name: str) -> None:
     """Add rows to a stored table; facts go to the folder of their month.
 
-    Facts are sorted by month and customer inside each task, so a task keeps one file open
-    at a time and the files carry narrow customer ranges for scans to skip by.
+    Facts are gathered by month first, so a load leaves few files per month and not one per
+    task and month; the rebalance splits a month that is too large for one task. Sorting by
+    customer gives the files narrow customer ranges for scans to skip by.
     """
     columns = [field.name for field in LAYOUTS[name].fields]
     if name == "cdr_events":
         stored = frame.withColumn(EVENT_MONTH, month_of(F.col("creation_time"))).select(columns)
-        writer = stored.sortWithinPartitions(EVENT_MONTH, "cust_num").write.partitionBy(EVENT_MONTH)
+        gathered = stored.hint("rebalance", F.col(EVENT_MONTH))
+        ordered = gathered.sortWithinPartitions(EVENT_MONTH, "cust_num")
+        writer = ordered.write.partitionBy(EVENT_MONTH)
     else:
         writer = frame.select(columns).write
     writer.mode("append").parquet(table_path(root, name))
