@@ -153,7 +153,10 @@ def store(spark, folder):
 
 def test_repeated_load_adds_nothing(spark, raw, tmp_path):
     root = store(spark, str(tmp_path / "s"))
-    offers = spark.createDataFrame([("5", "New Data"), ("5", "Again"), ("x", "Bad")], "`OFfERID` string, `Nom de l'offre` string")
+    offers = spark.createDataFrame(
+        [("5", "New Data"), ("5", "Again"), ("x", "Bad")],
+        "`OFfERID` string, `Nom de l'offre` string",
+    )
     extract = raw(
         {}, {}, {"CDR_ID": "2", "OFFER_ID": "5"}, {"CDR_ID": "3", "OFFER_ID": None},
         {"CDR_ID": "4", "OFFER_ID": "404"}, {"CDR_ID": "5", "OPERATION_TYPE": "6"},
@@ -161,7 +164,14 @@ def test_repeated_load_adds_nothing(spark, raw, tmp_path):
         {"CDR_ID": "7", "CREATION_TIME": "20240205000000"},
     )
     first = load_extract(spark, root, extract, offers)
-    assert first == {"customers": 1, "object_types": 0, "operation_types": 0, "offers": 1, "objects": 1, "cdr_events": 4}
+    assert first == {
+        "customers": 1,
+        "object_types": 0,
+        "operation_types": 0,
+        "offers": 1,
+        "objects": 1,
+        "cdr_events": 4,
+    }
     again = load_extract(spark, root, extract, offers)
     assert set(again.values()) == {0}
     facts = load_table(spark, root, "cdr_events")

@@ -47,7 +47,10 @@ def test_empty_store_defaults(star):
 
 def test_dashboard_cuts_sums_before_dividing(star):
     tables = star(
-        [event(1, 1, NOW - DAY, deduct_amount="10.99"), event(2, 2, NOW - DAY, deduct_amount="0.99", operation_type_id=5)],
+        [
+            event(1, 1, NOW - DAY, deduct_amount="10.99"),
+            event(2, 2, NOW - DAY, deduct_amount="0.99", operation_type_id=5),
+        ],
         customers=[(1, "S"), (2, "A"), (3, "A"), (4, "A")],
     )
     card = rows_of(kpis.dashboard_kpis(tables, NOW))[0]
@@ -130,7 +133,8 @@ def test_lifecycle_needs_five_charges(star):
 def test_journey_stages_at_their_borders(star):
     start = datetime(2024, 1, 1, 23, 0)
     days = [0, 7, 8, 30, 31, 90, 91]
-    events = [event(i, 1, start + d * DAY - timedelta(hours=22 if d else 0), offer_id=1, deduct_amount=1) for i, d in enumerate(days)]
+    times = [start + d * DAY - timedelta(hours=22 if d else 0) for d in days]
+    events = [event(i, 1, t, offer_id=1, deduct_amount=1) for i, t in enumerate(times)]
     tables = star(events, offers=CATALOGUE)
     got = rows_of(customers.customer_journey(tables, datetime(2024, 4, 30)))
     assert [(r["journey_stage"], r["avg_transactions"]) for r in got] == [

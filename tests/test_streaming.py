@@ -75,7 +75,12 @@ def test_session_must_be_utc(spark, star):
 
 def test_freshness_follows_the_newest_fact(spark, tmp_path):
     stream = write_files(
-        spark, str(tmp_path / "in"), [[event(1, 1, NOW - timedelta(minutes=90))], [event(2, 1, NOW - timedelta(minutes=61))]]
+        spark,
+        str(tmp_path / "in"),
+        [
+            [event(1, 1, NOW - timedelta(minutes=90))],
+            [event(2, 1, NOW - timedelta(minutes=61))],
+        ],
     )
     out = str(tmp_path / "out")
     freshness_stream(stream, NOW, out, str(tmp_path / "c")).awaitTermination()

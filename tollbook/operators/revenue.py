@@ -18,7 +18,6 @@ from tollbook.functions.measures import (
     rows,
     rows_where,
     safe_ratio,
-    total,
     total_or_zero,
     zero_if_null,
 )
