@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tollbook.llm import byte_bpe
+from tollbook.llm import byte_bpe, packing, secrets
+from tollbook.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,8 +25,24 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.findings(
+        table(spark, sf_dir, "documents"), shared_folder(spark, "secret-ledger"), path="doc_id"
+    )
+    return secrets.digest(found)
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer))
+
+
 def llm_queries() -> dict[str, Query]:
-    return {"op1_byte_bpe": op1_byte_bpe}
+    return {
+        "op1_byte_bpe": op1_byte_bpe,
+        "op5_secret_scan": op5_secret_scan,
+        "op6_best_fit_packing": op6_best_fit_packing,
+    }
 
 
 def llm_oracles() -> dict[str, str]:
