@@ -7,6 +7,7 @@ import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]
     """Cut batches so that a chunk holds about ``CHUNK_BYTES`` of a text column, one row at least."""
     for batch in batches:
         table = pa.Table.from_batches([batch])
-        sizes = [v or 0 for v in pa.compute.binary_length(table[column]).to_pylist()]
+        sizes = [v or 0 for v in pc.binary_length(table[column]).to_pylist()]
         start = held = 0
         for row, size in enumerate(sizes):
             if row > start and held + size > CHUNK_BYTES:
