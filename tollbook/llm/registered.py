@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollbook.llm import byte_bpe, packing, quality, secrets, set_join, toxicity
+from tollbook.llm import byte_bpe, packing, quality, secrets, set_join, toxicity, vp_tree
 from tollbook.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,9 +56,15 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), trusted)
 
 
+def op2_vp_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings")
+    return vp_tree.nearest(embeddings, embeddings.where("vec_id % 100 = 0"), k=10)
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
+        "op2_vp_tree_neighbours": op2_vp_tree_neighbours,
         "op3_quality_classifier": op3_quality_classifier,
         "op5_secret_scan": op5_secret_scan,
         "op6_best_fit_packing": op6_best_fit_packing,
