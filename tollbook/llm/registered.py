@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollbook.llm import byte_bpe, packing, quality, secrets, set_join, toxicity, vp_tree
+from tollbook.llm import byte_bpe, packing, quality, secrets, set_join, toxicity, url_templates, vp_tree
 from tollbook.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,20 @@ def op2_vp_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vp_tree.nearest(embeddings, embeddings.where("vec_id % 100 = 0"), k=10)
 
 
+# The query's rules.
+URL_RULES = (
+    url_templates.Rule("allow", "org", "/"),
+    url_templates.Rule("block", "example.org", "/es/"),
+    url_templates.Rule("block", "example.org", "/en/1"),
+    url_templates.Rule("allow", "com", "/fr/"),
+    url_templates.Rule("block", "com", "/de/"),
+)
+
+
+def op9_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
@@ -69,9 +83,10 @@ def llm_queries() -> dict[str, Query]:
         "op5_secret_scan": op5_secret_scan,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op8_toxicity": op8_toxicity,
+        "op9_url_templates": op9_url_templates,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     }
 
 
 def llm_oracles() -> dict[str, str]:
-    return {}
+    return {"op9_url_templates": url_templates.oracle_sql(URL_RULES)}
