@@ -47,9 +47,24 @@ class WordTokenizer:
         self.model.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.model.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part. Parts of letters or of closing marks only are one token run each, so
+        they go through the tokenizer as one text."""
+        plain = [p for p in parts if p.isalpha() or not p.strip(TAIL)]
+        found: dict[str, bytes] = {}
+        for start in range(0, len(plain), 5_000):
+            some = plain[start : start + 5_000]
+            one = self.model.encode(" ".join(some), add_special_tokens=False)
+            runs = np.array(one.word_ids)
+            cut = np.flatnonzero(np.diff(runs)) + 1
+            if len(cut) + 1 == len(some):
+                ids = np.array(one.ids, "<u4").tobytes()
+                ends = [0, *(4 * cut).tolist(), len(ids)]
+                found.update((p, ids[a:b]) for p, a, b in zip(some, ends, ends[1:], strict=False))
+        rest = [p for p in parts if p not in found]
+        alone = self.model.encode_batch(rest, add_special_tokens=False)
+        found.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(rest, alone, strict=True))
+        return [found[p] for p in parts]
 
     @staticmethod
     def parts(word: str) -> list[str]:
@@ -63,7 +78,7 @@ class WordTokenizer:
         if len(self.known) > CACHE_WORDS:
             self.known = {}
         cut = [[text] if ODD_SPACE.search(text) else text.split() for text in texts]
-        new = {w: self.parts(w) for words in cut for w in words if w not in self.known}
+        new = {w: self.parts(w) for w in set().union(*cut).difference(self.known)}
         parts = list({p for some in new.values() for p in some if p not in self.known})
         ids = dict(zip(parts, self._ids(parts), strict=True))
         look = lambda p: ids[p] if p in ids else self.known[p]

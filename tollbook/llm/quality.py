@@ -186,6 +186,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "block": pa.array([block], pa.int64()),
                 "doc_id": pa.array([[r["doc_id"] for r in rows]], pa.list_(pa.int64())),
                 "lang": pa.array([[r["lang"] for r in rows]], pa.list_(pa.string())),
+                "content": pa.array([[r["content"] for r in rows]], pa.list_(pa.int64())),
                 "sizes": pa.array([sizes], pa.list_(pa.int64())),
                 "texts": pa.array([pack.compress("".join(texts).encode())], pa.binary()),
             }
@@ -229,6 +230,7 @@ def _scores(order: int):
                     {
                         "doc_id": one["doc_id"][0].values,
                         "lang": one["lang"][0].values,
+                        "content": one["content"][0].values,
                         "n": pa.array(grams.lengths),
                         "loglik": pa.array(log_likelihood(grams, order, alpha, gamma)),
                     }
@@ -241,20 +243,22 @@ def score(
     documents: DataFrame, model: DataFrame, order: int = ORDER,
     doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
 ) -> DataFrame:
-    """``doc_id, lang, n, loglik`` for every row and whole text; a null text is the empty one.
+    """``doc_id, lang, content, n, loglik`` for every row and whole text; a null text is the empty one.
+    ``content`` is a hash of text and language, on which all else depends.
 
     ``documents`` must give the same rows in the same partitions each time it is read, as a stored
     table does.
     """
     rows = rename_free(documents, {"doc_id": doc_id, "lang": lang, "text": text})
-    wanted = map_arrow(rows.select("doc_id", "lang", "text"), _requests(order), "block long, number int, gram string")
+    rows = rows.withColumn("content", F.xxhash64("text", "lang"))
+    wanted = map_arrow(rows, _requests(order), "block long, number int, gram string")
     found = (
         wanted.join(model, "gram")
         .groupBy("block")
         .agg(F.collect_list(F.struct("number", F.col("alpha").cast("float").alias("alpha"), F.col("gamma").cast("float").alias("gamma"))).alias("found"))
     )
-    packed = map_arrow(rows, _packed, "block long, doc_id array<long>, lang array<string>, sizes array<long>, texts binary")
-    return map_arrow(packed.join(found, "block"), _scores(order), "doc_id long, lang string, n long, loglik double")
+    packed = map_arrow(rows, _packed, "block long, doc_id array<long>, lang array<string>, content array<long>, sizes array<long>, texts binary")
+    return map_arrow(packed.join(found, "block"), _scores(order), "doc_id long, lang string, content long, n long, loglik double")
 
 
 def judge(scored: DataFrame, trusted: DataFrame, quantile: float = KEPT_QUANTILE) -> DataFrame:
@@ -286,7 +290,7 @@ def judge(scored: DataFrame, trusted: DataFrame, quantile: float = KEPT_QUANTILE
         .withColumn("limit", F.coalesce("limit", "any_limit", F.lit(float("inf"))))
     )
     return judged.select(
-        "doc_id", "lang", F.col("n").alias("n_chars"), F.exp("level").alias("perplexity"),
+        "doc_id", "lang", "content", F.col("n").alias("n_chars"), F.exp("level").alias("perplexity"),
         (F.exp("limit") * SLACK).alias("threshold"),
         F.coalesce(F.exp("level") <= F.exp("limit") * SLACK, F.lit(False)).alias("keep"),
     )
@@ -298,7 +302,7 @@ def classify(
 ) -> DataFrame:
     """Train on the texts of ``trusted`` doc_ids and judge every document by those held out.
 
-    Returns ``doc_id, lang, n_chars, perplexity, threshold, keep``, one row per input row.
+    Returns ``doc_id, lang, content, n_chars, perplexity, threshold, keep``, one row per input row.
     """
     ids = trusted.select(F.col(f"`{doc_id}`").alias("doc_id")).where("doc_id is not null").distinct()
     held_out = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(HELD_OUT)) == 0
@@ -307,3 +311,14 @@ def classify(
     model = fit(prefilter(texts, "doc_id", counted, "doc_id").join(counted, "doc_id", "left_semi"), order=order)
     scored = written(score(documents, model, order, doc_id, text, lang), "quality-scores")
     return judge(scored, ids.where(held_out), quantile)
+
+
+def keep(
+    documents: DataFrame, trusted: DataFrame, order: int = ORDER, quantile: float = KEPT_QUANTILE,
+    doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
+) -> DataFrame:
+    """The rows, with all their columns, that ``classify`` keeps."""
+    judged = classify(documents, trusted, order, quantile, doc_id, text, lang)
+    rejected = judged.where("not keep").select("content").distinct()
+    rows = documents.select(F.struct("*").alias("row"), F.xxhash64(f"`{text}`", f"`{lang}`").alias("content"))
+    return rows.join(rejected, "content", "left_anti").select("row.*")

@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
@@ -130,18 +131,11 @@ def update_ledger(
     map_arrow(pending, scan, LEDGER).write.mode("append").parquet(folder)
 
 
-def findings(
-    versions: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES, path: str = "path", text: str = "text"
-) -> DataFrame:
-    """One row for each version: ``path, blob, spans``, the spans as ``start, order, kind, end``
-    structs by start and then by the order of the rules. Brings the ledger up to date first.
-
-    Null and empty texts have no spans. Equal rows stay, a row each. An empty table gives no rows.
-    """
-    update_ledger(versions, folder, rules, path, text)
+def _of_blobs(versions: DataFrame, folder: str, rules: tuple[Rule, ...]) -> DataFrame:
+    """``blob, spans`` of the blobs with findings under the current rules."""
     order = F.create_map(*(F.lit(x) for n, r in enumerate(rules) for x in (r.key, n)))
     kinds = F.create_map(*(F.lit(x) for r in rules for x in (r.key, r.kind)))
-    of_blob = (
+    return (
         _ledger(versions, folder)
         .select("blob", F.explode("found").alias("f"))
         .where(F.col("f.rule").isin([r.key for r in rules]))
@@ -155,7 +149,53 @@ def findings(
             ).alias("spans")
         )
     )
-    return address(versions, path, text).select("path", "blob").join(of_blob, "blob", "left")
+
+
+def findings(
+    versions: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES, path: str = "path", text: str = "text"
+) -> DataFrame:
+    """One row for each version: ``path, blob, spans``, the spans as ``start, order, kind, end``
+    structs by start and then by the order of the rules. Brings the ledger up to date first.
+
+    Null and empty texts have no spans. Equal rows stay, a row each. An empty table gives no rows.
+    """
+    update_ledger(versions, folder, rules, path, text)
+    addressed = address(versions, path, text).select("path", "blob")
+    return addressed.join(_of_blobs(versions, folder, rules), "blob", "left")
+
+
+def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """The text with each found stretch replaced by ``[kind]``, overlapping ones by the first's."""
+    out, at = [], 0
+    for start, end, kind in sorted(spans):
+        if start >= at:
+            out += [text[at:start], f"[{kind}]"]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+def redact(
+    versions: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES, path: str = "path", text: str = "text"
+) -> DataFrame:
+    """The rows, with all their columns, and the found stretches of the text masked."""
+    update_ledger(versions, folder, rules, path, text)
+
+    def mask(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series(
+            [
+                t if s is None or not len(s) else masked(t, [(x["start"], x["end"], x["kind"]) for x in s])
+                for t, s in zip(texts, spans, strict=True)
+            ],
+            dtype="object",
+        )
+
+    content = F.unhex(F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256))
+    rows = versions.select(F.struct("*").alias("row"), content.alias("blob"))
+    rows = rows.join(_of_blobs(versions, folder, rules), "blob", "left")
+    new = F.when(F.col("spans").isNotNull(), F.pandas_udf(mask, "string")(F.col(f"row.`{text}`"), "spans"))
+    return rows.select("row.*", new.alias("_masked")).select(
+        *(F.coalesce("_masked", f"`{c}`").alias(c) if c == text else F.col(f"`{c}`") for c in versions.columns)
+    )
 
 
 def digest(found: DataFrame) -> DataFrame:

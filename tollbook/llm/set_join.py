@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tollbook.llm.common import chunks, components, map_arrow, prefilter, rename_free, written
@@ -368,3 +368,19 @@ def join(
             F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
         )
     )
+
+
+def keep_one(
+    documents: DataFrame, words: int = SHINGLE_WORDS, percent: int = LEAST_PERCENT,
+    doc_id: str = "doc_id", text: str = "text",
+) -> DataFrame:
+    """The rows, with all their columns, of the smallest doc_id of each component, once each.
+
+    Rows without doc_id stay, and so does every document without words.
+    """
+    joined = join(documents, words, percent, doc_id, text)
+    named = joined.where("doc_id = component_id").select("doc_id").distinct()
+    rows = documents.select(F.struct("*").alias("row"), F.col(f"`{doc_id}`").alias("doc_id"))
+    own = Window.partitionBy("doc_id").orderBy(F.xxhash64(f"row.`{text}`"))
+    first = rows.join(named, "doc_id", "left_semi").withColumn("copy", F.row_number().over(own)).where("copy = 1")
+    return first.select("row.*").unionByName(documents.where(F.col(f"`{doc_id}`").isNull()))

@@ -29,7 +29,7 @@ TOXIC_SAMPLE, ORDINARY_SAMPLE = 2_000, 4_000
 DICTIONARY_BYTES = 16_384
 LEAST_Z, LEAST_LIFT, LEAST_DOCUMENTS = 3.5, 3.0, 4
 SAVED = (3, 4, 5, 6, 8)
-REJECT_AT = 0.5
+REJECT_AT = 0.4
 MARKS = re.compile(r"[^\w\s]+")
 WORD = re.compile(r"\w+")
 # Never matched; stands in for a dictionary with nothing to hold.
