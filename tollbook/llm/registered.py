@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollbook.llm import byte_bpe, packing, quality, secrets, set_join, toxicity, url_templates, vp_tree
+from tollbook.llm import byte_bpe, html_main, packing, quality, secrets, set_join, toxicity, url_templates, vp_tree
 from tollbook.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,12 @@ def op9_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    text = html_main.extract(pages, html_main.fit(pages))
+    return text.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
@@ -82,6 +88,7 @@ def llm_queries() -> dict[str, Query]:
         "op3_quality_classifier": op3_quality_classifier,
         "op5_secret_scan": op5_secret_scan,
         "op6_best_fit_packing": op6_best_fit_packing,
+        "op7_html_main_text": op7_html_main_text,
         "op8_toxicity": op8_toxicity,
         "op9_url_templates": op9_url_templates,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
