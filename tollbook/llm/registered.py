@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollbook.llm import byte_bpe, html_main, packing, quality, secrets, set_join, toxicity, url_templates, vp_tree
+from tollbook.llm import bm25, byte_bpe, html_main, packing, quality, secrets, set_join, toxicity, url_templates, vp_tree
 from tollbook.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,11 +81,19 @@ def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op4_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose doc_id is divisible by 20 asks with its 16 rarest shared words."""
+    documents = table(spark, sf_dir, "documents")
+    queries = documents.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    return bm25.search(bm25.build(documents), queries, k=10, most_terms=16, least_df=2)
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
         "op2_vp_tree_neighbours": op2_vp_tree_neighbours,
         "op3_quality_classifier": op3_quality_classifier,
+        "op4_bm25_search": op4_bm25_search,
         "op5_secret_scan": op5_secret_scan,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_html_main_text": op7_html_main_text,
