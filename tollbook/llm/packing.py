@@ -78,12 +78,15 @@ class WordTokenizer:
         if len(self.known) > CACHE_WORDS:
             self.known = {}
         cut = [[text] if ODD_SPACE.search(text) else text.split() for text in texts]
-        new = {w: self.parts(w) for w in set().union(*cut).difference(self.known)}
-        parts = list({p for some in new.values() for p in some if p not in self.known})
-        ids = dict(zip(parts, self._ids(parts), strict=True))
-        look = lambda p: ids[p] if p in ids else self.known[p]
-        new = {w: b"".join(map(look, some)) for w, some in new.items()}
-        self.known.update((k, v) for k, v in (ids | new).items() if len(k) < 100)
+        fresh = set().union(*cut).difference(self.known)
+        whole = [w for w in fresh if w.isalpha()]
+        other = {w: self.parts(w) for w in fresh.difference(whole)}
+        parts = {p for some in other.values() for p in some}
+        parts = [*whole, *parts.difference(whole).difference(self.known)]
+        new = dict(zip(parts, self._ids(parts), strict=True))
+        for word, some in other.items():
+            new[word] = b"".join([new[p] if p in new else self.known[p] for p in some])
+        self.known.update(new if max(map(len, new), default=0) < 100 else {k: v for k, v in new.items() if len(k) < 100})
         out = []
         for words in cut:
             try:
