@@ -25,7 +25,7 @@ ORDER = 4
 # Stands in front of a text, where a context would reach beyond its beginning.
 START = "\x02"
 # Characters of text in a block, of which a task holds one.
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 6_000_000
 # Characters at a language's mean that a text is extended by, so that few characters decide little.
 SMOOTHING_CHARS = 40
 KEPT_QUANTILE = 0.995
@@ -34,7 +34,7 @@ SLACK = 1.1
 # One trusted document in so many sets the thresholds and is left out of the counts, because a text
 # that was counted looks better than one that was not.
 HELD_OUT = 5
-DENSE_CODES = 1 << 25
+DENSE_CODES = 1 << 24
 
 
 class Grams:
@@ -47,16 +47,22 @@ class Grams:
         codes = np.frombuffer(self.joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         starts = np.cumsum(self.lengths + order - 1) - self.lengths
         # The positions of real characters.
-        self.at = np.repeat(starts - np.cumsum(self.lengths) + self.lengths, self.lengths) + np.arange(self.lengths.sum())
-        char, letters = self._dense(codes.astype(np.int64), int(codes.max(initial=0)) + 1)
+        shift = (starts - np.cumsum(self.lengths) + self.lengths).astype(np.int32)
+        self.at = np.repeat(shift, self.lengths) + np.arange(self.lengths.sum(), dtype=np.int32)
+        char, letters = self._dense(codes.astype(np.int32), int(codes.max(initial=0)) + 1)
+        del codes
         self.ids, self.last, ends = [char], [], letters
         for _ in range(1, order):
-            wide = self.ids[-1][:-1].astype(np.int64) * letters + char[1:]
+            kind = np.int32 if ends * letters < 1 << 31 else np.int64
+            wide = self.ids[-1][:-1].astype(kind) * kind(letters) + char[1:]
             own, ends = self._dense(wide, ends * letters)
             self.ids.append(np.r_[np.int32(0), own])
-        for ids in self.ids:
-            # A position where each n-gram ends, only of those that end at a real character.
+        for n, ids in enumerate(self.ids, 1):
+            # A position where each n-gram ends, only of those that end at a real character or
+            # stand before one.
             last = np.full(int(ids.max(initial=-1)) + 1, -1, np.int64)
+            if n < order:
+                last[ids[np.maximum(self.at - 1, 0)]] = np.maximum(self.at - 1, 0)
             last[ids[self.at]] = self.at
             self.last.append(last)
 
@@ -72,7 +78,7 @@ class Grams:
 
     def text_of(self, order: int) -> tuple[np.ndarray, list[str]]:
         ids = np.flatnonzero(self.last[order - 1] >= 0)
-        return ids, [self.joined[e - order + 1 : e + 1] for e in self.last[order - 1][ids].tolist()]
+        return ids, [self.joined[max(0, e - order + 1) : e + 1] for e in self.last[order - 1][ids].tolist()]
 
 
 def _counts(order: int):
@@ -205,7 +211,8 @@ def log_likelihood(grams: Grams, order: int, alpha: np.ndarray, gamma: np.ndarra
         # The next order's context ends one character earlier.
         weight = gamma[first + own[np.maximum(grams.at - 1, 0)]] if n < order else weight
         first += len(grams.last[n - 1])
-    return np.bincount(np.repeat(np.arange(len(grams.lengths)), grams.lengths), np.log(chance), len(grams.lengths))
+    own = np.repeat(np.arange(len(grams.lengths)), grams.lengths)
+    return np.bincount(own, np.log(chance), len(grams.lengths)).astype(float)
 
 
 def _scores(order: int):
