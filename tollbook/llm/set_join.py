@@ -181,10 +181,10 @@ def _chains(percent: int):
     return run
 
 
-def links_among(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+def links_among(sets: list[np.ndarray], sides: np.ndarray | None, percent: int) -> Iterator[tuple[int, np.ndarray]]:
     """For each set in turn, the earlier ones it links with. ``sets`` come in order of size.
 
-    ``sides``: all equal, or two blocks of which only pairs across count.
+    ``sides``: the block of each set where only pairs of two blocks count, or None.
     """
     size = np.array([len(s) for s in sets])
     tokens, code = np.unique(np.concatenate(sets), return_inverse=True)
@@ -192,7 +192,6 @@ def links_among(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> Iter
     order = np.argsort(code, kind="stable")
     lists, begin = owner[order], np.searchsorted(code[order], np.arange(len(tokens) + 1))
     codes = np.split(code, np.cumsum(size)[:-1])
-    across = len(np.unique(sides)) > 1
     count, before, member = np.zeros(len(sets), np.int64), None, np.zeros(len(tokens), bool)
 
     def add(some: np.ndarray, least: int, sign: int) -> None:
@@ -222,13 +221,13 @@ def links_among(sets: list[np.ndarray], sides: np.ndarray, percent: int) -> Iter
         before = own
         common = count[least:n]
         hit = 100 * common >= percent * (size[n] + size[least:n] - common)
-        if across:
+        if sides is not None:
             hit &= sides[least:n] != sides[n]
         yield n, least + np.flatnonzero(hit)
 
 
 def _cluster_links(words: int, percent: int):
-    def solve(shingler: Shingler, rows: list[tuple]) -> tuple[list, list, list]:
+    def solve(shingler: Shingler, rows: list[tuple], across: bool) -> tuple[list, list, list]:
         by_set: dict[int, tuple] = {}
         for row in rows:
             by_set.setdefault(row[0], row)
@@ -242,7 +241,7 @@ def _cluster_links(words: int, percent: int):
             return a, b, links
         sids = [m[2][0] for m in members]
         copies = np.array([m[2][1] for m in members])
-        sides = np.array([m[2][2] for m in members])
+        sides = np.array([m[2][2] for m in members]) if across else None
         label, degree = np.arange(len(members)), np.zeros(len(members), np.int64)
         for n, partners in links_among([m[3] for m in members], sides, percent):
             if len(partners):
@@ -261,7 +260,7 @@ def _cluster_links(words: int, percent: int):
         shingler, now, rows = Shingler(words), None, []
 
         def result() -> pa.RecordBatch:
-            columns = zip(("a", "b", "links"), solve(shingler, rows), strict=True)
+            columns = zip(("a", "b", "links"), solve(shingler, rows, now[1] != now[2]), strict=True)
             return pa.RecordBatch.from_pydict({name: pa.array(v, pa.int64()) for name, v in columns})
 
         for part in chunks(batches, "text"):
