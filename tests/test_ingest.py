@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from conftest import event, rows_of
 from tollbook.schemas import seed_tables
 from tollbook.sources import conform
-from tollbook.sources.load import load_extract
+from tollbook.sources.load import load_extract, refused_facts, retry_refused
 from tollbook.sources.raw import FACT_HEADERS as HEADERS
 from tollbook.sources.raw import read_raw
 from tollbook.sources.tables import (
@@ -183,6 +183,27 @@ def test_repeated_load_adds_nothing(spark, raw, tmp_path):
     assert spark.read.parquet(os.path.join(root, "_quarantine", "*")).count() == 2
 
 
+def test_refused_facts_are_kept_and_retried(spark, raw, tmp_path):
+    root = store(spark, str(tmp_path / "s"))
+    extract = raw(
+        {}, {}, {"CDR_ID": "2", "OFFER_ID": "404"}, {"CDR_ID": "3", "OPERATION_TYPE": "6"},
+        {"CDR_ID": "4", "CUST_NUM": "9", "CUST_TYPE": "Q", "OBJECT_ID": None}, {"CREATION_TIME": None},
+    )
+    result = load_extract(spark, root, extract)
+    assert (result["cdr_events"], result.refused, result.repeated) == (1, 3, 1)
+    reasons = {r["cdr_id"]: r["refused_because"] for r in refused_facts(spark, root).collect()}
+    assert reasons == {
+        "2": "unknown offer", "3": "unknown operation", "4": "unknown customer, unknown object",
+    }
+    assert retry_refused(spark, root) == 0
+    offers = spark.createDataFrame([("404", "New")], "`OFfERID` string, `Nom de l'offre` string")
+    load_extract(spark, root, raw({}), offers)
+    assert retry_refused(spark, root) == 1 and retry_refused(spark, root) == 0
+    assert sorted(r["cdr_id"] for r in load_table(spark, root, "cdr_events").collect()) == ["1", "2"]
+    assert refused_facts(spark, root).count() == 2
+    assert not list((tmp_path / "s" / "_staged").glob("*"))
+
+
 def test_a_load_leaves_few_files(spark, star, tmp_path):
     root = store(spark, str(tmp_path / "s"))
     events = [event(i, i % 9, datetime(2024, 1 + i % 3, 1 + i % 28)) for i in range(900)]

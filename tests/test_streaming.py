@@ -11,7 +11,7 @@ from conftest import NOW, event, rows_of
 from tollbook.schemas import CDR_EVENTS
 from tollbook.sources.raw import FACT_HEADERS
 from tollbook.sources.tables import create_store, load_table
-from tollbook.streaming.activity import activity_stream, append_to_files
+from tollbook.streaming.activity import activity_stream, activity_windows, append_to_files
 from tollbook.streaming.freshness import freshness_stream, latest_health
 from tollbook.streaming.ingest import ingest_stream
 
@@ -110,7 +110,44 @@ def test_stream_ingest_skips_what_is_stored(spark, tmp_path):
     assert run() == ["1", "2"]
     drop_file(["2", "3"], "b.csv")
     assert run() == ["1", "2", "3"]
+    first = spark.read.parquet(os.path.join(root, "_quarantine", "*")).count()
+    assert first == 0
     # A lost checkpoint replays everything; the store stays as it is.
     checkpoint = str(tmp_path / "c2")
     assert run() == ["1", "2", "3"]
     assert os.path.isdir(os.path.join(root, "_staged"))
+
+
+def test_two_streams_keep_both_bad_rows(spark, tmp_path):
+    root = str(tmp_path / "store")
+    create_store(spark, root)
+    schema = ", ".join(f"`{h}` string" for h in FACT_HEADERS)
+    for name in ("a", "b"):
+        folder = tmp_path / name
+        folder.mkdir()
+        lines = [",".join(FACT_HEADERS), f"{name},never,100,S,1000,F,1,,1.5,0,5,3.5,,20240201000000"]
+        (folder / "x.csv").write_text("\n".join(lines) + "\n")
+        raw = spark.readStream.schema(schema).option("header", True).csv(str(folder))
+        ingest_stream(raw, root, str(tmp_path / f"c-{name}")).awaitTermination()
+    kept = spark.read.parquet(os.path.join(root, "_quarantine", "*")).collect()
+    assert sorted(r["cdr_id"] for r in kept) == ["a", "b"]
+
+
+def test_late_facts_are_counted_and_restated(spark, tmp_path):
+    batches = [hourly([10, 200]), hourly([600], first=100), hourly([20], first=200), hourly([900], first=300)]
+    stream = write_files(spark, str(tmp_path / "in"), batches)
+    out = str(tmp_path / "out")
+    late = append_to_files(activity_stream(stream, "1 hour", "1 hour"), out, str(tmp_path / "c"))
+    assert late == 1
+    published = {r["window_start"]: r["event_count"] for r in spark.read.parquet(out).collect()}
+    restated = {r["window_start"]: r["event_count"] for r in activity_windows(spark.read.parquet(str(tmp_path / "in"))).collect()}
+    assert published[START] == 1 and restated[START] == 2
+
+
+def test_health_after_a_restart(spark, tmp_path):
+    out = str(tmp_path / "out")
+    old = write_files(spark, str(tmp_path / "in"), [[event(1, 1, NOW - timedelta(minutes=90))], [event(2, 1, NOW - timedelta(minutes=80))]])
+    freshness_stream(old, NOW, out, str(tmp_path / "c1")).awaitTermination()
+    new = write_files(spark, str(tmp_path / "in2"), [[event(3, 1, NOW - timedelta(minutes=5))]])
+    freshness_stream(new, NOW, out, str(tmp_path / "c2")).awaitTermination()
+    assert rows_of(latest_health(spark, out))[0]["minutes_since_last_record"] == 5

@@ -292,7 +292,7 @@ def next_offer(
     )
     earned = weighted.groupBy("user_segment", "offer_name").agg(
         rows().alias("users_count"),
-        F.sum(F.col("times").cast("decimal(6,0)") * F.col("spent")).alias("revenue"),
+        F.sum(F.col("times").cast("decimal(10,0)") * F.col("spent")).alias("revenue"),
         F.sum(F.col("times") * F.col("spent_n")).alias("revenue_n"),
     )
     best = Window.partitionBy("user_segment").orderBy(F.desc("revenue"), "offer_name")

@@ -59,7 +59,7 @@ def customer_objects(
             F.col("description").alias("object_type_description"),
             "expiry_date",
         )
-        .orderBy("cust_num", F.desc("expiry_date"))
+        .orderBy("cust_num", F.desc("expiry_date"), "object_id")
     )
 
 

@@ -874,6 +874,27 @@ WHERE cdr_id NOT IN (SELECT cdr_id FROM valid WHERE creation_time < '2024-01-11'
     "ingest_fk_filter": f"{CONFORMED} SELECT * {DOUBLES} FROM referenced",
     "ingest_load": f"""{CONFORMED}
 SELECT *, strftime(creation_time, '%Y-%m') AS event_month FROM (SELECT * {DOUBLES} FROM referenced)""",
+    "facts_reset": f"""{CONFORMED}
+SELECT *, strftime(creation_time, '%Y-%m') AS event_month FROM (SELECT * {DOUBLES} FROM referenced)""",
+    "ingest_rejected": f"""{CONFORMED},
+missing AS (
+  SELECT 'missing ' || concat_ws(',', if(cdr_id IS NULL, 'cdr_id', NULL),
+                 if(creation_time IS NULL, 'creation_time', NULL),
+                 if(cust_num IS NULL, 'cust_num', NULL),
+                 if(operation_type_id IS NULL, 'operation_type_id', NULL)) AS reason
+  FROM conformed),
+refused AS (
+  SELECT concat_ws(', ',
+    if(cust_num IN (SELECT cust_num_bigint FROM new_customers), NULL, 'unknown customer'),
+    if(object_id IN (SELECT object_id_bigint FROM new_objects
+                     SEMI JOIN new_customers USING (cust_num_bigint)), NULL, 'unknown object'),
+    if(operation_type_id BETWEEN 1 AND 5, NULL, 'unknown operation'),
+    if(offer_id IS NULL OR offer_id IN (SELECT offer_id FROM known_offers), NULL, 'unknown offer')) AS reason
+  FROM first_records)
+SELECT reason, count(*) AS rejected
+FROM (SELECT * FROM missing WHERE reason <> 'missing ' UNION ALL SELECT * FROM refused WHERE reason <> '')
+GROUP BY ALL
+UNION ALL SELECT 'repeated', (SELECT count(*) FROM valid) - (SELECT count(*) FROM first_records)""",
     "stream_ingest": f"""{CONFORMED}
 SELECT *, strftime(creation_time, '%Y-%m') AS event_month FROM (SELECT * {DOUBLES} FROM referenced)
 WHERE offer_id IS NULL OR offer_id IN (SELECT offer_id FROM seed_offers)""",

@@ -13,9 +13,9 @@ from tollbook.plans.reports import REPORTS
 from tollbook.schemas import seed_tables
 from tollbook.session import shared_folder
 from tollbook.sources import conform, sample_star
-from tollbook.sources.load import load_extract, load_summary
+from tollbook.sources.load import load_extract, load_summary, refused_facts
 from tollbook.sources.raw import FACT_HEADERS, read_raw
-from tollbook.sources.tables import append_table, create_store, load_table
+from tollbook.sources.tables import append_table, create_store, load_table, reset_facts
 from tollbook.streaming.activity import activity_stream, append_to_files
 from tollbook.streaming.freshness import freshness_stream, latest_health
 from tollbook.streaming.ingest import ingest_stream
@@ -227,6 +227,33 @@ def ingest_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _amounts_out(load_table(spark, root, "cdr_events")).drop("cdr_event_id")
 
 
+def ingest_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a whole load left out, by reason: rows without a required column, facts with unknown
+    references, and repeats. With the stored facts these are all rows of the extract."""
+    root = shared_folder(spark, "store")
+    create_store(spark, root)
+    result = load_extract(spark, root, *sample_star.raw_tables(spark, sf_dir))
+    missing = spark.read.parquet(os.path.join(root, "_quarantine", "*"))
+    left = missing.select(F.concat(F.lit("missing "), "missing_columns").alias("reason"))
+    left = left.unionByName(refused_facts(spark, root).select(F.col("refused_because").alias("reason")))
+    counted = left.groupBy("reason").agg(F.count(F.lit(1)).alias("rejected"))
+    repeats = spark.range(1).select(
+        F.lit("repeated").alias("reason"), F.lit(result.repeated).cast("bigint").alias("rejected")
+    )
+    return counted.unionByName(repeats)
+
+
+def facts_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A load, a reset of the facts, the same load again, and the facts read back."""
+    root = shared_folder(spark, "store")
+    create_store(spark, root)
+    extract = sample_star.raw_tables(spark, sf_dir)
+    load_extract(spark, root, *extract)
+    reset_facts(spark, root)
+    load_extract(spark, root, *extract)
+    return _amounts_out(load_table(spark, root, "cdr_events")).drop("cdr_event_id")
+
+
 def _events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     reader = spark.readStream.schema(sample_star.SAMPLE_COLUMNS["events"])
     return reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
@@ -280,6 +307,8 @@ def ingest_queries() -> dict[str, Query]:
         ingest_fk_filter,
         ingest_counts,
         ingest_load,
+        ingest_rejected,
+        facts_reset,
     )
     queries = {step.__name__: step for step in steps}
     for name in ("customers", "object_types", "offers", "operation_types", "objects"):

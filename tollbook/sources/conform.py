@@ -61,10 +61,17 @@ def amount(text: Column) -> Column:
     return text.try_cast(AMOUNT)
 
 
-def wall_clock(text: Column) -> Column:
-    """``yyyyMMddHHmmss``, also when a spreadsheet made it ``...00.0``, or an ISO time."""
-    digits = whole_number(text).cast("string")
+# Fourteen digits as they stand, perhaps with the ``.0`` of a spreadsheet.
+_PLAIN_CLOCK = r"^\s*[1-9][0-9]{13}([.]0{1,6})?\s*$"
+
 
+def clock_digits(text: Column) -> Column:
+    """The digits of a time or other whole number; other spellings of numbers go by decimals."""
+    plain = F.substring(F.trim(text), 1, 14)
+    return F.when(text.rlike(_PLAIN_CLOCK), plain).otherwise(whole_number(text).cast("string"))
+
+
+def _clock(digits: Column, text: Column) -> Column:
     def part(start: int, length: int) -> Column:
         return F.substring(digits, start, length).cast("int")
 
@@ -76,6 +83,11 @@ def wall_clock(text: Column) -> Column:
     )
 
 
+def wall_clock(text: Column) -> Column:
+    """``yyyyMMddHHmmss``, also when a spreadsheet made it ``...00.0``, or an ISO time."""
+    return _clock(clock_digits(text), text)
+
+
 def coerce_numeric(frame: DataFrame) -> DataFrame:
     """Identifiers and amounts as numbers; what cannot be read becomes NULL.
 
@@ -95,7 +107,12 @@ def fill_amounts(frame: DataFrame) -> DataFrame:
 
 
 def parse_times(frame: DataFrame) -> DataFrame:
-    return _on_present(frame, TIME_COLUMNS, wall_clock)
+    """The time columns as wall-clock times. Their digits are projected first, so that the eight
+    places that use them share one reading of the text."""
+    present = [name for name in TIME_COLUMNS if name in frame.columns]
+    digits = frame.withColumns({f"{name} digits": clock_digits(F.col(name)) for name in present})
+    parsed = {name: _clock(F.col(f"`{name} digits`"), F.col(name)) for name in present}
+    return digits.withColumns(parsed).select(frame.columns)
 
 
 def _blank_to_null(text: Column) -> Column:
@@ -172,7 +189,11 @@ def build_customers(conformed: DataFrame, existing: DataFrame | None = None) ->
     candidates = conformed.filter(
         F.col("cust_num").isNotNull() & F.col("cust_type").isin(*CUSTOMER_TYPES)
     ).select(F.col("cust_num").alias("cust_num_bigint"), "cust_type", "creation_time")
-    first = _first_per_key(candidates, "cust_num_bigint", _null_last("creation_time"))
+    # At most two rows a customer are left to choose from, and this fold needs no sort.
+    folded = candidates.groupBy("cust_num_bigint", "cust_type").agg(
+        F.min("creation_time").alias("creation_time")
+    )
+    first = _first_per_key(folded, "cust_num_bigint", _null_last("creation_time"))
     return _unseen(first.drop("creation_time"), existing, "cust_num_bigint")
 
 
@@ -236,7 +257,10 @@ def build_objects(
         )
     )
     order = _null_last("expiry_date") + [F.col("object_type_id").alias("type_first")]
-    first = _first_per_key(candidates, "object_id_bigint", order)
+    folded = candidates.groupBy("object_id_bigint", "cust_num_bigint", "object_type_id").agg(
+        F.min("expiry_date").alias("expiry_date")
+    )
+    first = _first_per_key(folded, "object_id_bigint", order)
     return _unseen(first, existing, "object_id_bigint")
 
 
@@ -252,6 +276,40 @@ def new_events(valid: DataFrame, existing: DataFrame | None = None) -> DataFrame
     return unseen.select(F.xxhash64("cdr_id").alias("cdr_event_id"), *facts.columns)
 
 
+# Why a fact is refused, in the order in which reasons are told.
+UNKNOWN_CUSTOMER, UNKNOWN_OBJECT = "unknown customer", "unknown object"
+UNKNOWN_OPERATION, UNKNOWN_OFFER = "unknown operation", "unknown offer"
+
+
+def judge_references(
+    facts: DataFrame,
+    customers: DataFrame,
+    objects: DataFrame,
+    offers: DataFrame,
+    operation_types: DataFrame,
+) -> DataFrame:
+    """The facts with ``refused_because``: the references that do not exist, else NULL.
+
+    References fail for few keys. The distinct keys of the facts are compared with the
+    dimensions, and only the missing ones travel to the facts.
+    """
+    judged = facts
+    reasons = []
+    for column, known, key, reason in (
+        ("cust_num", customers, "cust_num_bigint", UNKNOWN_CUSTOMER),
+        ("object_id", objects, "object_id_bigint", UNKNOWN_OBJECT),
+        ("operation_type_id", operation_types, "operation_type_id", UNKNOWN_OPERATION),
+        ("offer_id", offers, "offer_id", UNKNOWN_OFFER),
+    ):
+        stored = known.select(F.col(key).alias(column))
+        missing = facts.select(column).na.drop().distinct().join(stored, column, "left_anti")
+        judged = judged.join(missing.withColumn(reason, F.lit(reason)), column, "left")
+        none = F.when(F.col(column).isNull(), F.lit(reason)) if reason != UNKNOWN_OFFER else None
+        reasons.append(F.coalesce(F.col(f"`{reason}`"), none) if none is not None else F.col(f"`{reason}`"))
+    because = F.nullif(F.concat_ws(", ", *reasons), F.lit(""))
+    return judged.select(*facts.columns, because.alias("refused_because"))
+
+
 def enforce_references(
     facts: DataFrame,
     customers: DataFrame,
@@ -260,13 +318,5 @@ def enforce_references(
     operation_types: DataFrame,
 ) -> DataFrame:
     """Facts whose customer, object, operation and, where given, offer exist."""
-    known_offers = offers.select(F.col("offer_id").alias("known_offer")).distinct()
-    return (
-        facts.join(operation_types, "operation_type_id", "left_semi")
-        .join(known_offers, F.col("offer_id") == F.col("known_offer"), "left")
-        .filter(F.col("offer_id").isNull() | F.col("known_offer").isNotNull())
-        .drop("known_offer")
-        .join(customers, F.col("cust_num") == F.col("cust_num_bigint"), "left_semi")
-        .join(objects, F.col("object_id") == F.col("object_id_bigint"), "left_semi")
-        .select(facts.columns)
-    )
+    judged = judge_references(facts, customers, objects, offers, operation_types)
+    return judged.filter(F.col("refused_because").isNull()).drop("refused_because")

@@ -8,12 +8,17 @@ import uuid
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tollbook.schemas import seed_tables
+from tollbook.schemas import EVENT_MONTH, seed_tables
 from tollbook.sources import conform
 from tollbook.sources.tables import append_table, load_table
 
 
+# Tables that facts refer to, in the order of ``conform.judge_references``.
+REFERENCES = ("customers", "objects", "offers", "operation_types")
+
+
 def load_summary(attempted: dict[str, DataFrame], inserted: dict[str, DataFrame]) -> DataFrame:
     """Rows offered to each table and rows that were new, one line per table."""
 
@@ -39,8 +44,24 @@ def rows_seen(observation: Observation) -> int:
     """
     try:
         return observation.get["n"]
-    except Py4JJavaError:
-        return 0
+    except Py4JJavaError as failed:
+        # An observation without metrics fails to become a row; anything else is a real failure.
+        if "toPyRow" in str(failed) and "assertion failed" in str(failed):
+            return 0
+        raise
+
+
+class LoadResult(dict):
+    """Rows added by table; ``refused`` counts facts without a stored reference, ``repeated``
+    the complete rows whose id came before in the extract or is stored."""
+
+    refused = 0
+    repeated = 0
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(location, True)
 
 
 def load_extract(
@@ -49,13 +70,15 @@ def load_extract(
     raw: DataFrame,
     raw_offers: DataFrame | None = None,
     batch: str | None = None,
-) -> dict[str, int]:
+) -> LoadResult:
     """Conform an extract and add what is new to every table; returns rows added.
 
     The conformed rows are written once beside the store and every table is built from
     that copy, so the text is parsed once and lost tasks read the copy again. Dimensions go
     first, as facts refer to them. A load cut short can be repeated: stored keys are skipped.
-    Rejected rows are kept under ``_quarantine``.
+    Rows that lack a required column are kept under ``_quarantine``, and facts whose references
+    are unknown under ``_refused`` with the reasons; ``retry_refused`` takes those up again.
+    ``batch`` names a load in these folders and must be its own. One load writes at a time.
     """
     batch = batch or uuid.uuid4().hex
     staged_at = os.path.join(root, "_staged", batch)
@@ -65,7 +88,7 @@ def load_extract(
     def stored(name: str) -> DataFrame:
         return load_table(spark, root, name)
 
-    added = {}
+    added = LoadResult()
 
     def add(name: str, rows: DataFrame) -> None:
         seen = Observation()
@@ -84,10 +107,42 @@ def load_extract(
         add("offers", conform.build_offers(offers, stored("offers")))
     objects = conform.build_objects(staged, stored("object_types"), stored("objects"))
     add("objects", objects.join(stored("customers"), "cust_num_bigint", "left_semi"))
-    facts = conform.new_events(conform.drop_invalid(staged), stored("cdr_events"))
-    references = ("customers", "objects", "offers", "operation_types")
-    add("cdr_events", conform.enforce_references(facts, *[stored(n) for n in references]))
+    complete = conform.drop_invalid(staged)
+    # The judged facts are written once, for the table and for the refused both read them.
+    judged_at = os.path.join(root, "_staged", f"{batch}-facts")
+    facts = conform.new_events(complete, stored("cdr_events"))
+    judged = conform.judge_references(facts, *[stored(name) for name in REFERENCES])
+    judged.write.mode("overwrite").parquet(judged_at)
+    judged = spark.read.schema(judged.schema).parquet(judged_at)
+    accepted = judged.filter(F.col("refused_because").isNull())
+    add("cdr_events", accepted.drop("refused_because"))
+    refused = judged.filter(F.col("refused_because").isNotNull())
+    refused.write.mode("overwrite").parquet(os.path.join(root, "_refused", batch))
     conform.quarantine(staged).write.mode("overwrite").parquet(
         os.path.join(root, "_quarantine", batch)
     )
+    added.refused = refused.count()
+    added.repeated = complete.count() - added["cdr_events"] - added.refused
+    for path in (staged_at, judged_at):
+        remove_folder(spark, path)
     return added
+
+
+def refused_facts(spark: SparkSession, root: str) -> DataFrame:
+    """The facts that loads refused and that are not stored since, once each."""
+    stored = load_table(spark, root, "cdr_events")
+    layout = T.StructType(
+        [field for field in stored.schema if field.name != EVENT_MONTH]
+    ).add("refused_because", "string")
+    kept = spark.read.schema(layout).parquet(os.path.join(root, "_refused", "*"))
+    return kept.dropDuplicates(["cdr_id"]).join(stored.select("cdr_id"), "cdr_id", "left_anti")
+
+
+def retry_refused(spark: SparkSession, root: str) -> int:
+    """Add refused facts whose references have arrived since; returns how many."""
+    waiting = refused_facts(spark, root).drop("refused_because")
+    known = [load_table(spark, root, name) for name in REFERENCES]
+    seen = Observation()
+    facts = conform.enforce_references(waiting, *known)
+    append_table(facts.observe(seen, F.count(F.lit(1)).alias("n")), root, "cdr_events")
+    return rows_seen(seen)

@@ -21,7 +21,7 @@ def activity_stream(facts: DataFrame, width: str = "1 hour", delay: str = "1 hou
     A window is reported once, when the watermark passes its end, and its state is dropped
     then. Facts are folded to window and customer first, so the distinct count is exact and
     a busy customer or hour is combined in every task before it is shuffled. Facts later
-    than ``delay`` are not counted here; the batch reports over the stored facts have them.
+    than ``delay`` are not counted here; ``activity_windows`` over the stored facts has them.
     """
     require_utc(facts.sparkSession)
     per_customer = (
@@ -30,6 +30,10 @@ def activity_stream(facts: DataFrame, width: str = "1 hour", delay: str = "1 hou
         .groupBy(F.window("at", width).alias("span"), "cust_num")
         .agg(rows().alias("n"), F.sum(zero_if_null(F.col("deduct_amount"))).alias("deducted"))
     )
+    return _per_window(per_customer)
+
+
+def _per_window(per_customer: DataFrame) -> DataFrame:
     return (
         per_customer.groupBy("span")
         .agg(
@@ -48,14 +52,32 @@ def activity_stream(facts: DataFrame, width: str = "1 hour", delay: str = "1 hou
     )
 
 
-def append_to_files(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Process what is there, append the finished rows to Parquet files, and stop."""
+def activity_windows(facts: DataFrame, width: str = "1 hour") -> DataFrame:
+    """All windows of stored facts, late ones included: restates what the stream published."""
+    require_utc(facts.sparkSession)
+    return _per_window(
+        facts.withColumn("at", F.col("creation_time").cast("timestamp"))
+        .groupBy(F.window("at", width).alias("span"), "cust_num")
+        .agg(rows().alias("n"), F.sum(zero_if_null(F.col("deduct_amount"))).alias("deducted"))
+    )
+
+
+def append_to_files(
+    stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
+) -> int:
+    """Append the finished rows to Parquet files until the trigger ends; by default what is there is
+    processed. Returns how many folded rows came too late for their window."""
     query = (
         stream.writeStream.format("parquet")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
     query.awaitTermination()
+    return sum(
+        int(state["numRowsDroppedByWatermark"])
+        for progress in query.recentProgress
+        for state in progress["stateOperators"]
+    )
