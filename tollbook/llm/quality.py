@@ -13,7 +13,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -24,8 +23,8 @@ from tollbook.llm.common import chunks, map_arrow, prefilter, rename_free, sessi
 ORDER = 4
 # Stands in front of a text, where a context would reach beyond its beginning.
 START = "\x02"
-# Characters of text in a block, of which a task holds one.
-BLOCK_CHARS = 6_000_000
+# Characters of text in a block, of which a task holds one, and in a part that is counted at once.
+BLOCK_CHARS, PART_CHARS = 16_000_000, 1_500_000
 # Characters at a language's mean that a text is extended by, so that few characters decide little.
 SMOOTHING_CHARS = 40
 KEPT_QUANTILE = 0.995
@@ -34,7 +33,7 @@ SLACK = 1.1
 # One trusted document in so many sets the thresholds and is left out of the counts, because a text
 # that was counted looks better than one that was not.
 HELD_OUT = 5
-DENSE_CODES = 1 << 24
+DENSE_CODES = 1 << 23
 
 
 class Grams:
@@ -156,29 +155,43 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list
         yield first, rows, texts
 
 
-def _check(texts: list[str]) -> int:
-    state = xxhash.xxh3_64()
-    for text in texts:
-        state.update(text.encode())
-    return state.intdigest() >> 1
+def _parts(texts: list[str], order: int) -> Iterator[tuple[int, Grams]]:
+    """A block's texts some at a time, always cut alike: the first one's place and the n-grams."""
+    start = size = 0
+    for n, text in enumerate(texts):
+        size += len(text)
+        if size >= PART_CHARS or n + 1 == len(texts):
+            yield start, Grams(texts[start : n + 1], order)
+            start, size = n + 1, 0
+
+
+def _numbered(grams: Grams, order: int, numbers: dict[str, int]) -> list[np.ndarray]:
+    """Numbers of a part's n-grams by order and id, in a block's numbering, which grows."""
+    out = []
+    for n in range(1, order + 1):
+        ids, texts = grams.text_of(n)
+        own = np.zeros(len(grams.last[n - 1]), np.int32)
+        own[ids] = [numbers.setdefault(t, len(numbers)) for t in texts]
+        out.append(own)
+    return out
 
 
 def _requests(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, texts in _blocks(batches):
-            grams, first = Grams(texts, order), 0
-            for n in range(0, order + 1):
-                ids, text = grams.text_of(n) if n else (np.array([-1]), [""])
-                for start in range(0, len(ids), 50_000):
-                    own = slice(start, start + 50_000)
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "block": pa.array([block] * len(ids[own]), pa.int64()),
-                            "number": pa.array((ids[own] + 1 + first).astype(np.int32)),
-                            "gram": pa.array(text[own]),
-                        }
-                    )
-                first += len(grams.last[n - 1]) if n else 0
+            numbers = {"": 0}
+            for _, grams in _parts(texts, order):
+                _numbered(grams, order, numbers)
+            names = list(numbers)
+            for start in range(0, len(names), 50_000):
+                own = names[start : start + 50_000]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "block": pa.array([block] * len(own), pa.int64()),
+                        "number": pa.array(range(start, start + len(own)), pa.int32()),
+                        "gram": pa.array(own, pa.string()),
+                    }
+                )
 
     return run
 
@@ -199,18 +212,16 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def log_likelihood(grams: Grams, order: int, alpha: np.ndarray, gamma: np.ndarray) -> np.ndarray:
-    """Sum of natural log probabilities of each text's characters. ``alpha`` and ``gamma`` by
-    number: the empty n-gram first, then the orders' ids; NaN where the model has no such n-gram."""
+def log_likelihood(grams: Grams, numbers: list[np.ndarray], alpha: np.ndarray, gamma: np.ndarray) -> np.ndarray:
+    """Sum of natural log probabilities of each text's characters. ``alpha`` and ``gamma`` by the
+    block's numbers, the empty n-gram first; NaN where the model has no such n-gram."""
     alpha, gamma = np.nan_to_num(alpha, nan=0.0), np.nan_to_num(gamma, nan=1.0)
     chance = np.full(len(grams.at), alpha[0] if alpha[0] > 0 else 1e-6)
-    first, weight = 1, np.full(len(grams.at), gamma[0])
-    for n in range(1, order + 1):
-        own = grams.ids[n - 1]
-        chance = alpha[first + own[grams.at]] + weight * chance
+    weight = np.full(len(grams.at), gamma[0])
+    for ids, number in zip(grams.ids, numbers, strict=True):
+        chance = alpha[number[ids[grams.at]]] + weight * chance
         # The next order's context ends one character earlier.
-        weight = gamma[first + own[np.maximum(grams.at - 1, 0)]] if n < order else weight
-        first += len(grams.last[n - 1])
+        weight = gamma[number[ids[np.maximum(grams.at - 1, 0)]]]
     own = np.repeat(np.arange(len(grams.lengths)), grams.lengths)
     return np.bincount(own, np.log(chance), len(grams.lengths)).astype(float)
 
@@ -224,22 +235,28 @@ def _scores(order: int):
                 raw = unpack.decompress(one["texts"][0].as_py())
                 ends = np.cumsum(one["sizes"][0].values.to_numpy())
                 texts = [raw[a:b].decode() for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True)]
-                grams = Grams(texts, order)
-                alpha = np.full(1 + sum(len(x) for x in grams.last), np.nan)
-                gamma = alpha.copy()
                 found = one["found"][0].values
                 at = found.field("number").to_numpy(zero_copy_only=False)
-                if len(at) and int(at.max()) >= len(alpha):
-                    raise ValueError("documents changed between two reads; score a stored table")
+                alpha = np.full(int(at.max(initial=0)) + 1, np.nan)
+                gamma = alpha.copy()
                 alpha[at] = found.field("alpha").to_numpy(zero_copy_only=False)
                 gamma[at] = found.field("gamma").to_numpy(zero_copy_only=False)
+                numbers, loglik = {"": 0}, []
+                for _, grams in _parts(texts, order):
+                    own = _numbered(grams, order, numbers)
+                    short = len(numbers) - len(alpha)
+                    if short > 0:
+                        alpha, gamma = (np.r_[x, np.full(short, np.nan)] for x in (alpha, gamma))
+                    loglik.append(log_likelihood(grams, own, alpha, gamma))
+                if len(numbers) != one["grams"][0].as_py():
+                    raise ValueError("documents changed between two reads; score a stored table")
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": one["doc_id"][0].values,
                         "lang": one["lang"][0].values,
                         "content": one["content"][0].values,
-                        "n": pa.array(grams.lengths),
-                        "loglik": pa.array(log_likelihood(grams, order, alpha, gamma)),
+                        "n": pa.array([len(t) for t in texts], pa.int64()),
+                        "loglik": pa.array(np.concatenate(loglik), pa.float64()),
                     }
                 )
 
@@ -259,10 +276,15 @@ def score(
     rows = rename_free(documents, {"doc_id": doc_id, "lang": lang, "text": text})
     rows = rows.withColumn("content", F.xxhash64("text", "lang"))
     wanted = map_arrow(rows, _requests(order), "block long, number int, gram string")
+    held = F.struct("number", F.col("alpha").cast("float").alias("alpha"), F.col("gamma").cast("float").alias("gamma"))
     found = (
-        wanted.join(model, "gram")
+        wanted.join(model, "gram", "left")
         .groupBy("block")
-        .agg(F.collect_list(F.struct("number", F.col("alpha").cast("float").alias("alpha"), F.col("gamma").cast("float").alias("gamma"))).alias("found"))
+        .agg(
+            # What the model lacks is known by its absence.
+            F.collect_list(F.when(F.coalesce("alpha", "gamma").isNotNull(), held)).alias("found"),
+            F.count("*").alias("grams"),
+        )
     )
     packed = map_arrow(rows, _packed, "block long, doc_id array<long>, lang array<string>, content array<long>, sizes array<long>, texts binary")
     return map_arrow(packed.join(found, "block"), _scores(order), "doc_id long, lang string, content long, n long, loglik double")
@@ -315,7 +337,9 @@ def classify(
     held_out = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(HELD_OUT)) == 0
     counted = ids.where(~held_out)
     texts = rename_free(documents, {"doc_id": doc_id, "text": text})
-    model = fit(prefilter(texts, "doc_id", counted, "doc_id").join(counted, "doc_id", "left_semi"), order=order)
+    # The same join at every size, whatever the ids would let Spark broadcast.
+    own = prefilter(texts, "doc_id", counted, "doc_id").join(counted.hint("merge"), "doc_id", "left_semi")
+    model = fit(own, order=order)
     scored = written(score(documents, model, order, doc_id, text, lang), "quality-scores")
     return judge(scored, ids.where(held_out), quantile)
 
