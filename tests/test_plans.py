@@ -87,7 +87,7 @@ PASSES = {
     "network_capacity": 1, "seasonality": 1, "churn_risk": 1, "competitive": 1,
     "activity_snapshot": 1,
     # The mean must be known before amounts can be held against it.
-    "dq_amount_anomalies": 2,
+    "dq_amount_anomalies": 2, "data_quality_report": 4,
 }
 
 
