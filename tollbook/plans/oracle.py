@@ -938,6 +938,13 @@ WHERE offer_id IS NULL OR offer_id IN (SELECT offer_id FROM seed_offers)""",
 }
 
 
+# The same reports with rules that ask for loans before anything else.
+for _name, _loan in (("next_offer", "Loan Users"), ("customer_offer_preferences", "Loan takers")):
+    ON_LINEITEM[f"{_name}_loans_first"] = ON_LINEITEM[_name].replace(
+        "CASE WHEN", f"CASE WHEN {_any('offer_name', 'loan')} THEN '{_loan}' WHEN", 1
+    )
+
+
 def all_oracles() -> dict[str, str]:
     return {
         **{name: EVENTS_STAR + sql for name, sql in ON_EVENTS.items()},

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from dataclasses import replace
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tollbook.functions.categories import PREFERENCE_RULES, RECOMMENDATION_RULES
 from tollbook.plans.reports import REPORTS
 from tollbook.schemas import seed_tables
 from tollbook.session import shared_folder
@@ -66,6 +68,12 @@ def report_queries() -> dict[str, Query]:
     queries = {
         name: _report(name, "events" if name in ON_EVENTS else "lineitem") for name in REPORTS
     }
+    for name, rules in (
+        ("next_offer", RECOMMENDATION_RULES), ("customer_offer_preferences", PREFERENCE_RULES)
+    ):
+        *others, loans = rules.branches
+        first = replace(rules, branches=(loans, *others))
+        queries[f"{name}_loans_first"] = _report(name, "lineitem", rules=first)
     queries["kpi_summary_events"] = _report("kpi_summary", "events")
     queries["overall_stats_events"] = _report("overall_stats", "events")
     queries["balance_flow_events"] = _report("balance_flow", "events")
