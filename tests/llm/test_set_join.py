@@ -106,3 +106,25 @@ def test_keep_one_and_empty(documents):
     assert kept.columns == documents([]).columns
     assert {i for i in ids if i is not None} == want - {-1} and ids.count(9007) <= 1 and ids.count(None) == 2
     assert set_join.join(documents([])).count() == 0
+
+
+def test_copies_meet_once(documents, monkeypatch):
+    """A cluster's task gets one row for all copies of a text."""
+    links = set_join._cluster_links
+
+    def counted(words, percent):
+        run = links(words, percent)
+
+        def some(batches):
+            held = list(batches)
+            if sum(b.num_rows for b in held) > 3:
+                raise ValueError("copies travel to a cluster's task")
+            yield from run(iter(held))
+
+        return some
+
+    monkeypatch.setattr(set_join, "_cluster_links", counted)
+    text = [f"v{n}" for n in range(60)]
+    rows = [(n, " ".join(text)) for n in range(80)]
+    rows += [(100 + n, " ".join([*text, f"u{n}"])) for n in range(2)]
+    assert got(documents(rows), 4, 85) == brute(rows, 4, 85)

@@ -228,12 +228,10 @@ def links_among(sets: list[np.ndarray], sides: np.ndarray | None, percent: int)
 
 def _cluster_links(words: int, percent: int):
     def solve(shingler: Shingler, rows: list[tuple], across: bool) -> tuple[list, list, list]:
-        by_set: dict[int, tuple] = {}
-        for row in rows:
-            by_set.setdefault(row[0], row)
-        members = []
-        for row, own in zip(by_set.values(), shingler.sets([r[3] for r in by_set.values()]), strict=True):
-            if set_id(own) == row[0]:
+        members, taken = [], set()
+        for row, own in zip(rows, shingler.sets([r[3] for r in rows]), strict=True):
+            if set_id(own) == row[0] and row[0] not in taken:
+                taken.add(row[0])
                 members.append((len(own), int(own[0]), row, own))
         members.sort(key=lambda m: m[:2])
         a, b, links = [], [], []
@@ -257,10 +255,11 @@ def _cluster_links(words: int, percent: int):
         return a, b, links
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, now, rows = Shingler(words), None, []
+        shingler, now = Shingler(words), None
+        rows: dict[tuple, tuple] = {}  # by set and text: a text counts once
 
         def result() -> pa.RecordBatch:
-            columns = zip(("a", "b", "links"), solve(shingler, rows, now[1] != now[2]), strict=True)
+            columns = zip(("a", "b", "links"), solve(shingler, list(rows.values()), now[1] != now[2]), strict=True)
             return pa.RecordBatch.from_pydict({name: pa.array(v, pa.int64()) for name, v in columns})
 
         for part in chunks(batches, "text"):
@@ -269,9 +268,9 @@ def _cluster_links(words: int, percent: int):
             for key, row in zip(keys, zip(*columns, strict=True), strict=True):
                 if key != now and rows:
                     yield result()
-                    rows = []
+                    rows = {}
                 now = key
-                rows.append(row)
+                rows.setdefault((row[0], row[3]), row)
         if rows:
             yield result()
 
@@ -338,7 +337,8 @@ def join(
         )
     )
     members = written(members, "cluster-members")
-    texts = prefilter(rows.select("content", "text"), "content", members, "content").join(members, "content")
+    # Copies of a text are folded in every task; `copies` has their number.
+    texts = prefilter(rows.select("content", "text"), "content", members, "content").distinct().join(members, "content")
     found = written(
         map_arrow(
             texts.select("cluster", "low", "high", "side", "sid", "copies", "text")
