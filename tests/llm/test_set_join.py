@@ -3,6 +3,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tollbook.llm import set_join
@@ -128,3 +129,26 @@ def test_copies_meet_once(documents, monkeypatch):
     rows = [(n, " ".join(text)) for n in range(80)]
     rows += [(100 + n, " ".join([*text, f"u{n}"])) for n in range(2)]
     assert got(documents(rows), 4, 85) == brute(rows, 4, 85)
+
+
+def test_pieces_of_a_list_have_one_number():
+    rows = [(5, 1)] + [(7, s) for s in (1, 1, 1, 1, 2, 3, 3, 4, 5, 6, 7, 8, 9)] + [(8, 1), (8, 2), (8, 2), (9, 3)]
+    for size in range(1, 8):
+        batches = [
+            pa.RecordBatch.from_pydict({"token": pa.array([t for t, _ in some], pa.int64()), "sid": pa.array([s for _, s in some], pa.int64())})
+            for some in (rows[n : n + size] for n in range(0, len(rows), size))
+        ]
+        out = [r for b in set_join._shared(4)(iter(batches)) for r in b.to_pylist()]
+        assert [(r["token"], r["sid"], r["sets"]) for r in out] == [(7, s, 4) for s in range(1, 10)] + [(8, 1, 2), (8, 2, 2)]
+
+
+def test_short_texts_and_long_lists(spark, documents, monkeypatch):
+    """Sets of few shingles, with shingles that more sets have than are counted, in small batches."""
+    monkeypatch.setattr(set_join, "MOST_COUNTED", 4)
+    rng = np.random.default_rng(2)
+    rows = [(n, " ".join(f"p{x}" for x in rng.permutation(10)[: rng.integers(6, 11)])) for n in range(150)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        assert got(documents(rows), 1, 85) == brute(rows, 1, 85)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

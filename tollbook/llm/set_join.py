@@ -128,9 +128,9 @@ def _postings(words: int, percent: int):
     return run
 
 
-def _runs(columns: tuple[str, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Columns of whole runs of the first one, several runs at once; a run beyond
-    ``MOST_COUNTED`` rows comes in pieces of at least that length."""
+def _runs(columns: tuple[str, ...], batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Columns of whole runs of the first one, several runs at once; a run of ``most`` rows or
+    more may come in pieces, the first of at least that length, the last of any."""
     held: list[np.ndarray] = []
     for batch in batches:
         new = [batch[c].to_numpy() for c in columns]
@@ -139,7 +139,7 @@ def _runs(columns: tuple[str, ...], batches: Iterator[pa.RecordBatch]) -> Iterat
             continue
         last = np.flatnonzero(held[0] != held[0][-1])
         cut = int(last[-1]) + 1 if len(last) else 0
-        if len(held[0]) - cut >= MOST_COUNTED:
+        if len(held[0]) - cut >= most:
             cut = len(held[0])
         if cut:
             yield tuple(x[:cut] for x in held)
@@ -148,19 +148,35 @@ def _runs(columns: tuple[str, ...], batches: Iterator[pa.RecordBatch]) -> Iterat
         yield tuple(held)
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings of shingles that two sets or more have, with their number of sets. Rows come
-    sorted by shingle and set, so copies of a set are next to each other."""
-    for token, sid in _runs(("token", "sid"), batches):
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])
-        token, sid = token[new], sid[new]
-        start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        count = np.repeat(np.diff(np.r_[start, len(token)]), np.diff(np.r_[start, len(token)]))
-        keep = count > 1
-        yield pa.RecordBatch.from_pydict(
-            {"sid": sid[keep], "token": token[keep], "sets": np.minimum(count[keep], MOST_COUNTED)}
-        )
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings without copies, which are next to each other."""
+    last = None
+    for batch in batches:
+        token, sid = batch["token"].to_numpy(), batch["sid"].to_numpy()
+        if len(token):
+            new = np.ones(len(token), bool)
+            new[1:] = (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])
+            new[0] = (token[0], sid[0]) != last
+            last = token[-1], sid[-1]
+            yield pa.RecordBatch.from_pydict({"token": token[new], "sid": sid[new]})
+
+
+def _shared(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Postings of shingles that two sets or more have, with their number of sets, ``most`` at
+        most. Rows come sorted by shingle and set. All rows of a shingle have one number, since
+        sets have to order their shingles alike: the later pieces of a cut run have ``most``."""
+        last = None
+        for token, sid in _runs(("token", "sid"), _distinct(batches), most):
+            start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            count = np.repeat(np.diff(np.r_[start, len(token)]), np.diff(np.r_[start, len(token)]))
+            if last is not None:
+                count[token == last] = most
+            last = token[-1]
+            keep = count > 1
+            yield pa.RecordBatch.from_pydict({"sid": sid[keep], "token": token[keep], "sets": np.minimum(count[keep], most)})
+
+    return run
 
 
 def _chains(percent: int):
@@ -308,7 +324,7 @@ def join(
 
     postings = map_arrow(rows.select("text"), _postings(words, percent), "token long, sid long")
     shared = map_arrow(
-        postings.repartition("token").sortWithinPartitions("token", "sid"), _shared, "sid long, token long, sets long"
+        postings.repartition("token").sortWithinPartitions("token", "sid"), _shared(MOST_COUNTED), "sid long, token long, sets long"
     )
     # Unshared shingles come first in the order; a set that sent more than one part keeps all.
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
