@@ -152,3 +152,10 @@ def test_short_texts_and_long_lists(spark, documents, monkeypatch):
         assert got(documents(rows), 1, 85) == brute(rows, 1, 85)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_keep_one_goes_by_row(documents):
+    """A doc_id on rows with unlinked texts keeps both, and of a component only its smallest."""
+    a, b, c = (" ".join(f"{x}{n}" for n in range(30)) for x in "abc")
+    kept = set_join.keep_one(documents([(1, a), (2, b), (2, c), (3, b), (5, a), (5, c + " more"), (2, c)]), 5, 80)
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(1, a), (2, b), (2, c)]

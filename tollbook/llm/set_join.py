@@ -308,6 +308,11 @@ def join(
     link with nothing and are their own component. Repeated rows link with each other. Rows
     without doc_id take part but name no component. Sets are told apart by 64-bit hashes.
     """
+    return _joined(documents, words, percent, doc_id, text).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def _joined(documents: DataFrame, words: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """The rows of ``join`` with the hash of their text and the name of their component."""
     rows = rename_free(documents, {"doc_id": doc_id, "text": text}).withColumn("content", F.xxhash64("text"))
     profile = written(
         map_arrow(rows, _profile(words, percent), "doc_id long, content long, sid long, n long, sent long, parts long"),
@@ -376,9 +381,9 @@ def join(
     )
     named = classes.join(classes.groupBy("class").agg(F.min("first_doc").alias("component_id")), "class")
     return (
-        profile.join(named.select("sid", "component_id", "n_links"), "sid", "left")
+        profile.join(named.select("sid", "class", "component_id", "n_links"), "sid", "left")
         .select(
-            "doc_id", F.col("n").alias("n_shingles"),
+            "doc_id", "content", "class", F.col("n").alias("n_shingles"),
             F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
             F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
         )
@@ -393,9 +398,10 @@ def keep_one(
 
     Rows without doc_id stay, and so does every document without words.
     """
-    joined = join(documents, words, percent, doc_id, text)
-    named = joined.where("doc_id = component_id").select("doc_id").distinct()
-    rows = documents.select(F.struct("*").alias("row"), F.col(f"`{doc_id}`").alias("doc_id"))
-    own = Window.partitionBy("doc_id").orderBy(F.xxhash64(f"row.`{text}`"))
-    first = rows.join(named, "doc_id", "left_semi").withColumn("copy", F.row_number().over(own)).where("copy = 1")
+    joined = _joined(documents, words, percent, doc_id, text)
+    named = joined.where("doc_id = component_id").select("doc_id", "content", "class").distinct()
+    rows = documents.select(F.struct("*").alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(f"`{text}`").alias("content"))
+    # One doc_id may stand on rows of several components.
+    own = Window.partitionBy("doc_id", "class").orderBy("content")
+    first = rows.join(named, ["doc_id", "content"]).withColumn("copy", F.row_number().over(own)).where("copy = 1")
     return first.select("row.*").unionByName(documents.where(F.col(f"`{doc_id}`").isNull()))
