@@ -2,8 +2,6 @@ from __future__ import annotations
 
 import os
 import sys
-from datetime import datetime
-from decimal import Decimal
 
 import pytest
 
@@ -12,8 +10,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from tollbook import schemas  # noqa: E402
 from tollbook.session import local_session  # noqa: E402
 
-NOW = datetime(2024, 3, 31, 12, 0)
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -22,25 +18,6 @@ def spark():
     session.stop()
 
 
-def event(number: int, cust: int, at: datetime, **fields) -> dict:
-    row = {name: None for name in schemas.CDR_EVENTS.names}
-    row.update(
-        cdr_event_id=number,
-        cdr_id=str(number),
-        creation_time=at,
-        cust_num=cust,
-        object_id=cust * 10,
-        operation_type_id=1,
-        charge_amount=Decimal("0.00"),
-    )
-    for name, value in fields.items():
-        known = row.get(name, ...)
-        assert known is not ..., name
-        is_amount = name.endswith("_amount") or name.startswith("current_amount_p")
-        row[name] = Decimal(str(value)) if is_amount and value is not None else value
-    return row
-
-
 @pytest.fixture(scope="session")
 def star(spark):
     """Build a star schema from rows; dimensions default to the seeds and what facts need."""
@@ -59,11 +36,3 @@ def star(spark):
         return tables
 
     return build
-
-
-def rows_of(frame) -> list[dict]:
-    return [row.asDict() for row in frame.collect()]
-
-
-def keyed(frame, key: str) -> dict:
-    return {row[key]: row.asDict() for row in frame.collect()}

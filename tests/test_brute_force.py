@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from conftest import NOW, event
+from star_rows import NOW, event
 from tollbook.operators import customers, offers
 
 CATALOGUE = [

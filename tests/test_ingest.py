@@ -9,7 +9,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import event, rows_of
+from star_rows import event, rows_of
 from tollbook.schemas import seed_tables
 from tollbook.sources import conform
 from tollbook.sources.load import load_extract, refused_facts, retry_refused

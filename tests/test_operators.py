@@ -7,7 +7,7 @@ from decimal import Decimal
 
 import pytest
 
-from conftest import NOW, event, keyed, rows_of
+from star_rows import NOW, event, keyed, rows_of
 from tollbook.operators import (
     churn,
     customers,

@@ -8,7 +8,7 @@ from decimal import Decimal
 
 import pytest
 
-from conftest import event
+from star_rows import event
 from tollbook.plans.reports import REPORTS
 from tollbook.sources.tables import append_table, create_store, load_tables
 

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from conftest import NOW, event, rows_of
+from star_rows import NOW, event, rows_of
 from tollbook.schemas import CDR_EVENTS
 from tollbook.sources.raw import FACT_HEADERS
 from tollbook.sources.tables import create_store, load_table
