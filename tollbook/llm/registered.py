@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollbook.llm import bm25, byte_bpe, html_main, packing, quality, secrets, set_join, toxicity, url_templates, vp_tree
+from tollbook.llm import (
+    bm25,
+    byte_bpe,
+    filter_audit,
+    html_main,
+    packing,
+    pair_maxscore,
+    prefix_counts,
+    quality,
+    secrets,
+    set_join,
+    toxicity,
+    url_templates,
+    vp_tree,
+)
 from tollbook.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,6 +102,21 @@ def op4_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.search(bm25.build(documents), queries, k=10)
 
 
+def op11_pair_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = pair_maxscore.query_terms(table(spark, sf_dir, "benchmark"))
+    return pair_maxscore.search(pair_maxscore.build(table(spark, sf_dir, "documents"), asked), asked, k=10)
+
+
+def op12_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    counts = prefix_counts.prefix_counts(table(spark, sf_dir, "documents"), model, keep_steps=False)
+    return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
+
+
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
@@ -100,8 +129,15 @@ def llm_queries() -> dict[str, Query]:
         "op8_toxicity": op8_toxicity,
         "op9_url_templates": op9_url_templates,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+        "op11_pair_maxscore": op11_pair_maxscore,
+        "op12_prefix_token_counts": op12_prefix_token_counts,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op9_url_templates": url_templates.oracle_sql(URL_RULES)}
+    return {
+        "op9_url_templates": url_templates.oracle_sql(URL_RULES),
+        "op11_pair_maxscore": pair_maxscore.ORACLE_SQL,
+        "op13_filter_audit": filter_audit.ORACLE_SQL,
+    }
