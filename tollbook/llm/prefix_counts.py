@@ -25,7 +25,7 @@ from tollbook.llm.common import chunks, map_arrow, rename_free
 
 SPACE = "▁"
 # Units and pairs a worker remembers; the older half goes when there are more.
-MOST_UNITS, MOST_PAIRS = 300_000, 300_000
+MOST_UNITS, MOST_PAIRS = 600_000, 500_000
 PREFIXES = "doc_id long, n_bytes long, n_tokens long, steps binary"
 
 
@@ -44,6 +44,7 @@ class PrefixCounter:
     """
 
     def __init__(self, path: str):
+        import ahocorasick
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
@@ -52,13 +53,16 @@ class PrefixCounter:
             raise ValueError("needs a model with byte fallback that keeps white space")
         ordinary = [i for i in ids if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.score = {model.id_to_piece(i): model.get_score(i) for i in ordinary}
-        self.longest = max(map(len, self.score))
         self.unit = self._units()
         # Each piece as BPE builds it, from the last merge down its left and down its right side:
         # the parts there, each with its own score and the score at which it is used up.
-        self.pieces = {p for p in self.score if self.merged(p) == [p]}
+        self.names = [p for p in self.score if self.merged(p) == [p]]
+        self.matches = ahocorasick.Automaton()
+        for number, piece in enumerate(self.names):
+            self.matches.add_word(piece, (number, len(piece)))
+        self.matches.make_automaton()
         self.sides: dict[str, tuple[list, list]] = {}
-        self.apart: dict[tuple[str, str], bool] = {}
+        self.apart: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
 
     def _units(self) -> re.Pattern:
@@ -131,30 +135,36 @@ class PrefixCounter:
                 return self.merged(left + right) == [left, right]
         return True
 
-    def _gets_on(self, left: str, right: str) -> bool:
-        kept = self.apart.get((left, right))
-        if kept is None:
-            kept = self.apart[left, right] = self._keeps_apart(left, right)
-        return kept
-
     def steps(self, unit: str) -> bytes:
         """By how much each character of a unit changes the number of tokens, as signed bytes."""
-        pieces, longest, gets_on = self.pieces, self.longest, self._gets_on
-        last: list[str | None] = [None]
-        count, steps = [0], []
-        for end in range(1, len(unit) + 1):
-            for start in range(max(0, end - longest), end):
-                piece = unit[start:end]
-                before = last[start]
-                if piece in pieces and (before is None or gets_on(before, piece)):
-                    last.append(piece)
-                    count.append(count[start] + 1)
-                    break
-            else:
-                last.append(None)
-                count.append(count[end - 1] + len(unit[end - 1].encode()))
-            steps.append((count[end] - count[end - 1]) & 255)
-        return bytes(steps)
+        names, apart = self.names, self.apart
+        # The last piece of every prefix, or -1, and its tokens. Of the pieces that end at a place one fits.
+        last, count = [-1] * (len(unit) + 1), [0] * (len(unit) + 1)
+        settled = 0
+        for at, (piece, size) in self.matches.iter(unit):
+            end = at + 1
+            if end <= settled:
+                continue
+            while settled < at:
+                settled = self._alone(unit, settled, count)
+            before = last[end - size]
+            if before >= 0:
+                pair = before << 32 | piece
+                kept = apart.get(pair)
+                if kept is None:
+                    kept = apart[pair] = self._keeps_apart(names[before], names[piece])
+                if not kept:
+                    continue
+            last[end], count[end], settled = piece, count[end - size] + 1, end
+        while settled < len(unit):
+            settled = self._alone(unit, settled, count)
+        return bytes([(b - a) & 255 for a, b in zip(count, count[1:], strict=False)])
+
+    @staticmethod
+    def _alone(unit: str, settled: int, count: list[int]) -> int:
+        """The next character is no piece and counts its bytes."""
+        count[settled + 1] = count[settled] + len(unit[settled].encode())
+        return settled + 1
 
     def encode(self, text: str) -> bytes:
         """The steps of a whole text, after the one of the space that the model puts in front."""
