@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 
 from tollbook.llm import pair_maxscore
@@ -82,26 +83,57 @@ def test_very_long_text(spark, documents):
     assert run(spark, documents(docs), [(1, "rare word")]) == brute(docs, [(1, "rare word")])
 
 
-def test_pair_bounds_open_fewer_postings(spark, documents, monkeypatch):
-    """Terms that never meet: the pair's bound is the larger one, not the sum."""
-    rng = random.Random(1)
-    docs = [(n, " ".join([f"x{n % 2}", *(f"f{rng.randrange(400)}" for _ in range(30))])) for n in range(4_000)]
-    docs += [(9_000 + n, "needle pin x0 f1 f2") for n in range(12)]
-    items = [(1, "needle pin x0 x1 f1 f2 f3 f4")]
-
-    def opened():
-        counts = [spark.sparkContext.accumulator(0) for _ in range(2)]
-        found = run(spark, documents(docs).coalesce(1), items, opened=counts)
-        return found, counts[0].value, counts[1].value
-
-    found, read, there = opened()
-    monkeypatch.setattr(pair_maxscore, "partners", lambda weights: [])
-    alone, read_alone, _ = opened()
-    assert found == alone == brute(docs, items)
-    assert read < read_alone and read < there
-
-
-def test_cover_bounds_every_document():
-    weights = {"a": 5, "b": 4, "c": 3}
-    units = pair_maxscore.cover(weights, {"a": 10, "b": 9, "c": 2}, {("a", "b"): 12, ("a", "c"): 12})
-    assert units == [(2, ("c",)), (12, ("a", "b"))]
+@pytest.mark.parametrize("seed", range(4))
+def test_bounds_hold_and_pairs_keep_more_lists_closed(seed):
+    """Every plan against all subsets of lists: what stays closed never reaches the threshold."""
+    rng = random.Random(seed)
+    for _ in range(60):
+        terms = {t: rng.randrange(1, 40) for t in "abcdefg"}
+        lists = {t: {d: rng.randrange(1, 1 + w) for d in range(60) if rng.random() < 1 / (1 + w / 6)} for t, w in terms.items()}
+        lists = {t: x for t, x in lists.items() if x}
+        pairs = pair_maxscore.partners(terms)
+        most = {(t, t): max(x.values()) for t, x in lists.items()}
+        joint = {(a, b): lists.get(a, {}).keys() & lists.get(b, {}).keys() for a, b in pairs}
+        most |= {(a, b): max(lists[a][d] + lists[b][d] for d in docs) for (a, b), docs in joint.items() if docs}
+        least = rng.randrange(5, 80)
+        sizes, bound = {t: len(x) for t, x in lists.items()}, {t: most[t, t] for t in lists}
+        closed, below, paired = pair_maxscore.plan(pairs, sizes, bound, most, least)
+        alone = pair_maxscore.plan([], sizes, bound, most, least)[0]
+        assert len(closed) >= len(alone) and closed[: len(alone)] == alone
+        found = {d for t in lists.keys() - set(closed) - paired.keys() for d in lists[t]} | {d for p in paired.values() for d in joint[p]}
+        score = lambda d, some: sum(lists[t].get(d, 0) for t in some)
+        for d in range(60):
+            assert d in found or score(d, lists) < least
+            assert all(score(d, closed[:n]) <= below[n] for n in range(len(below)))
+
+
+def test_pairs_open_fewer_postings(monkeypatch):
+    """The sample's own items in one shard, with and without pairs: same results, fewer postings opened."""
+    docs, items = (pq.read_table(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "benchmark"))
+    monkeypatch.setattr(pair_maxscore, "SHARD_DOCS", 100_000)
+    monkeypatch.setattr(pair_maxscore, "SHARD_POSTINGS", 1 << 30)
+    batch = docs.select(["doc_id", "text"]).slice(0, 4_000).combine_chunks().to_batches()
+    [made] = pair_maxscore._index(None)(iter(batch))
+    [row] = pair_maxscore._shard_rows(made)
+    n, total = len(row["lengths"]), int(row["lengths"].sum())
+    sizes = dict(zip(row["terms"], [b - a for a, b in zip([0, *row["ends"].tolist()], row["ends"].tolist(), strict=False)], strict=True))
+    weights = {t: math.floor(1000 * math.log((2 * n + 2) / (2 * f + 1))) for t, f in sizes.items()}
+    shard = pair_maxscore.Shard(row, weights, n, total)
+    opened = {}
+    plan = pair_maxscore.plan
+    for name, own_plan in (("pairs", plan), ("alone", lambda pairs, *rest: plan([], *rest))):
+        monkeypatch.setattr(pair_maxscore, "plan", own_plan)
+        seen, found = [0, 0, 0], []
+        for text in items["text"].to_pylist():
+            own = {t: weights[t] for t in set(terms(text)) if t in weights}
+            most, lists = {(t, t): int(shard.list(t)[1].max()) for t in own}, {}
+            for pair in pair_maxscore.partners(own):
+                places, joint = pair_maxscore.both(shard.list(pair[0]), shard.list(pair[1]))
+                if len(places):
+                    lists[pair], most[pair] = places, int(joint.max())
+            full = pair_maxscore.max_score(shard, own, most, lists, 1, 10, [0, 0, 0])[1]
+            least = int(sorted(full)[-10] * 0.9)
+            found.append(sorted(pair_maxscore.max_score(shard, own, most, lists, least, 10, seen)[1].tolist())[-10:])
+        opened[name] = seen[0], seen[2], found
+    assert opened["pairs"][2] == opened["alone"][2]
+    assert opened["pairs"][0] < 0.9 * opened["alone"][0] < 0.5 * opened["alone"][1]

@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,10 +32,12 @@ BIT = {letter: 1 << n for n, letter in enumerate(LETTERS)}
 BATCHES = 4
 # Different texts of a task that are folded at once.
 FOLD_ROWS = 100_000
+# Texts that share a state, on average.
+BUCKET_TEXTS = 256
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MASKED = "doc_id long, part string, text_key binary, mask int, copies long"
 FOLDED = "text_key binary, part string, mask int, good int, toxic int, least long, firsts long, later long, unnamed long"
-STATE = "least long, good int, toxic int, parts array<string>, firsts array<long>"
+STATE = "texts array<binary>, parts array<string>, least array<long>, good array<int>, toxic array<int>, firsts array<long>"
 CHANGES = "part string, mask int, good int, toxic int, change long"
 UPPER = bytes(range(ord("A"), ord("Z") + 1))
 
@@ -80,13 +83,14 @@ def _masks(rules: Rules):
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's rows of one text, part and labels as one row: smallest doc_id, its rows, the others, those without doc_id."""
+    """A task's rows of one text, part and labels as one row: smallest doc_id, its rows (0: there is none), those
+    of others, those without doc_id."""
     names = [field.split()[0] for field in FOLDED.split(", ")]
     kinds = [pa.binary(), pa.string(), *[pa.int32()] * 3, *[pa.int64()] * 4]
     found: dict[tuple, list] = {}
 
     def result() -> pa.RecordBatch:
-        rows = [(*key, *value) for key, value in found.items()]
+        rows = [(*key, least or 0, *counts) for key, (least, *counts) in found.items()]
         found.clear()
         columns = zip(*rows, strict=True) if rows else [()] * len(names)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
@@ -107,31 +111,41 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """New rows of a text: counter changes for them and, where a smaller doc_id came, for the rows before."""
-    rows = [row for frame in frames for row in zip(*(frame[c].tolist() for c in frame.columns[1:]), strict=True)]
-    least, good, toxic, parts, firsts = state.get if state.exists else (None, 0, 0, [], [])
-    new = min((r[4] for r in rows if not pd.isna(r[4])), default=None)
-    mask = rows[0][1]
-    repeated = mask | BIT["E"]
-    changes: list[tuple] = []
-    held: dict[str, int] = dict(zip(parts, firsts, strict=True))
-    if new is not None and (least is None or new < least):
-        for part, n in held.items():
-            changes += [(part, mask, good, toxic, -n), (part, repeated, good, toxic, n)]
-        least, held = int(new), {}
-    for part, _, own_good, own_toxic, own_least, n_first, n_later, n_unnamed in rows:
-        if not pd.isna(own_least):
-            first = own_least == least
-            changes.append((part, mask if first else repeated, own_good, own_toxic, n_first))
-            if n_later:
-                changes.append((part, repeated, own_good, own_toxic, n_later))
-            if first:
-                held[part], good, toxic = held.get(part, 0) + int(n_first), int(own_good), int(own_toxic)
-        if n_unnamed:
-            changes.append((part, mask, own_good, own_toxic, n_unnamed))
-    if least is not None:
-        state.update((int(least), good, toxic, list(held), list(held.values())))
-    yield pd.DataFrame(changes, columns=["part", "mask", "good", "toxic", "change"])
+    """New rows of a bucket's texts: counter changes for them and, where a smaller doc_id came, for the rows before."""
+    # By text: the smallest doc_id, its labels, and its rows by part.
+    texts: dict[bytes, list] = {}
+    if state.exists:
+        for text, part, least, good, toxic, firsts in zip(*state.get, strict=True):
+            texts.setdefault(bytes(text), [least, good, toxic, {}])[3][part] = firsts
+    changes: Counter = Counter()
+    fresh: dict[bytes, list] = {}
+    for frame in frames:
+        for text, *row in zip(*(frame[c].tolist() for c in frame.columns[1:]), strict=True):
+            fresh.setdefault(text, []).append(row)
+    for text, rows in fresh.items():
+        held = texts.get(text)
+        mask = rows[0][1]
+        repeated = mask | BIT["E"]
+        new = min((least for *_, least, firsts, _, _ in rows if firsts), default=None)
+        if new is not None and (held is None or new < held[0]):
+            if held is not None:
+                for part, n in held[3].items():
+                    changes[part, mask, held[1], held[2]] -= n
+                    changes[part, repeated, held[1], held[2]] += n
+            held = texts[text] = [new, 0, 0, {}]
+        for part, _, good, toxic, least, firsts, later, unnamed in rows:
+            if firsts:
+                first = least == held[0]
+                changes[part, mask if first else repeated, good, toxic] += firsts
+                changes[part, repeated, good, toxic] += later
+                if first:
+                    held[1:3] = good, toxic
+                    held[3][part] = held[3].get(part, 0) + firsts
+            changes[part, mask, good, toxic] += unnamed
+    rows = [(text, part, least, good, toxic, n) for text, (least, good, toxic, parts) in texts.items() for part, n in parts.items()]
+    if rows:
+        state.update(tuple(map(list, zip(*rows, strict=True))))
+    yield pd.DataFrame([(*k, n) for k, n in changes.items() if n], columns=["part", "mask", "good", "toxic", "change"])
 
 
 def file_stream(spark: SparkSession, path: str, batches: int = BATCHES) -> DataFrame:
@@ -141,6 +155,8 @@ def file_stream(spark: SparkSession, path: str, batches: int = BATCHES) -> DataF
     own = spark.newSession()
     own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # Each state partition would set aside some MB before it holds anything.
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     files = stored.inputFiles()
     each = max(1, -(-len(files) // batches))
     folder, _, name = path.rstrip("/").rpartition("/")
@@ -151,11 +167,13 @@ def file_stream(spark: SparkSession, path: str, batches: int = BATCHES) -> DataF
 
 
 def count_masks(
-    documents: DataFrame, labels: DataFrame, rules: Rules | None = None, doc_id: str = "doc_id", text: str = "text", part: str = "lang"
+    documents: DataFrame, labels: DataFrame, rules: Rules | None = None, buckets: int = 10_000,
+    doc_id: str = "doc_id", text: str = "text", part: str = "lang",
 ) -> DataFrame:
     """``part, mask, good, toxic, n``: rows of a stream of documents by part, failed filters and labels.
 
-    Runs the stream until what is there is processed. Part is ``""`` for null, a null text is an empty one.
+    Runs the stream until what is there is processed. Texts are dealt to ``buckets`` by hash; a bucket's texts are one
+    state, as calling a function for each single text costs much more than its work. Part is ``""`` for null, a null text is an empty one.
     Rows that repeat a doc_id with its text are not repeats of a smaller doc_id; rows without doc_id never
     fail E and make no other row fail it. A doc_id is good or toxic if any of its labels says so. An empty table gives no rows.
     """
@@ -172,7 +190,8 @@ def count_masks(
     labelled = labelled.select("doc_id", "part", "text_key", "mask", "copies", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("good", "toxic")))
     changes = (
         map_arrow(labelled, _fold, FOLDED)
-        .groupBy("text_key")
+        .select(F.pmod(F.xxhash64("text_key"), F.lit(buckets)).alias("bucket"), "*")
+        .groupBy("bucket")
         .applyInPandasWithState(update, CHANGES, STATE, "update", GroupStateTimeout.NoTimeout)
     )
     counters = shared_folder(spark, "audit-counters")
@@ -232,7 +251,8 @@ def orders(masks: DataFrame) -> DataFrame:
 
 def audit(spark: SparkSession, path: str, labels: DataFrame, rules: Rules | None = None, batches: int = BATCHES) -> DataFrame:
     """``orders`` of the documents in the Parquet files of ``path``."""
-    return orders(count_masks(file_stream(spark, path, batches), labels, rules))
+    buckets = 1 + spark.read.parquet(path).count() // BUCKET_TEXTS
+    return orders(count_masks(file_stream(spark, path, batches), labels, rules, buckets))
 
 
 ORACLE_SQL = """

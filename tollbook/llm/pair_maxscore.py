@@ -1,14 +1,16 @@
 """Ranked search by MaxScore with bounds on pairs of terms.
 
 Documents are indexed in shards of bounded size, a row each, with all lists of the shard. Beside the
-lists of terms a shard holds lists of term pairs: the documents that have both, with their joint
-impact, and its maximum. A query is covered by disjoint pairs, those whose joint bound lies furthest
-below the sum of the two independent ones. A covered pair counts at most max(a, b, joint), so a query's
-bound in a shard falls and fewer lists have to be opened: MaxScore adds up the units with the largest
-bounds, leaves the others, and looks those up only for documents that can still get among the best.
+lists of terms a shard holds those of term pairs: the documents that have both, and the maximum of
+their joint impacts. MaxScore leaves long lists of small impact closed as long as documents that have
+nothing else stay below the threshold, and looks them up only for documents found in the open lists.
+Pairs leave more of them closed, in two ways. Closed terms are bounded by disjoint pairs, each by
+max(a, b, joint) in place of a + b. And a term beyond them needs only the list of a pair of it with a closed
+term opened, if documents that have the one without the other stay below the threshold.
 
-Joint impacts also give each query a first threshold before any shard is searched: the k-th highest impact
-that a term or pair of it has anywhere is a score that k documents reach.
+Joint impacts also give each query a threshold before any shard is searched: in each shard the documents
+that stand highest in a list of one of its terms or pairs are scored, and the k-th best of all these is a
+score that k documents reach.
 
 Impacts are integers, so scores are exact in any order of adding.
 """
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import math
 import pickle
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,13 +32,13 @@ from pyspark.sql import functions as F
 from tollbook.llm.common import chunks, map_arrow, rename_free, session_of, written
 
 # A shard ends at so many documents or postings.
-SHARD_DOCS, SHARD_POSTINGS = 8_192, 2_000_000
+SHARD_DOCS, SHARD_POSTINGS = 4_096, 1_000_000
 # Terms to index that are sent to the tasks; with more of them every term is indexed.
 MOST_TERMS = 500_000
 # Queries of one search, by their terms; more are searched in blocks.
 BLOCK_TERMS = 200_000
 # A term's pairs are with so many terms of next smaller weight.
-PARTNERS = 3
+PARTNERS = 4
 SCALE, SATURATION, LENGTH_PERCENT = 1_000_000_000, 1_000, 90
 # A-Z become lower case, digits, letters and all bytes of other characters stay, the rest separates.
 TABLE = bytes(
@@ -46,7 +49,7 @@ INDEX = (
 )
 PAIRED = (
     f"{INDEX}, left array<string>, right array<string>, most array<long>, pair_ends array<int>, pair_places array<int>, "
-    "joint array<long>, items array<long>, floors array<array<long>>"
+    "items array<long>, floors array<array<long>>"
 )
 FOUND = "item_id long, doc_id long, score long"
 
@@ -67,12 +70,10 @@ def _index(terms):
         ids: list[int | None] = []
         lengths: list[int] = []
         numbers: dict[bytes, int] = {}
-        held: list[int] = []
-        docs: list[int] = []
-        counts: list[int] = []
+        held, docs, counts = array("i"), array("i"), array("i")
 
         def row() -> pa.RecordBatch:
-            number, place = np.array(held, np.int64), np.array(docs, np.int32)
+            number, place = np.array(held, np.int32), np.array(docs, np.int32)
             order = np.argsort(number, kind="stable")
             ends = np.searchsorted(number[order], np.arange(1, len(numbers) + 1)).astype(np.int32)
             columns = [
@@ -97,7 +98,7 @@ def _index(terms):
                 if len(ids) >= SHARD_DOCS or len(held) >= SHARD_POSTINGS:
                     yield row()
                     shard += 1
-                    ids, lengths, numbers, held, docs, counts = [], [], {}, [], [], []
+                    ids, lengths, numbers, held, docs, counts = [], [], {}, array("i"), array("i"), array("i")
         if ids:
             yield row()
 
@@ -182,7 +183,7 @@ def both(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray
 def partners(weights: dict[str, int]) -> list[tuple[str, str]]:
     """Pairs of a query's terms that are close in weight, so that either bound counts."""
     order = sorted(weights, key=lambda t: (-weights[t], t))
-    return [(a, b) for n, a in enumerate(order) for b in order[n + 1 : n + 1 + PARTNERS]]
+    return [(min(a, b), max(a, b)) for n, a in enumerate(order) for b in order[n + 1 : n + 1 + PARTNERS]]
 
 
 def _array(row: pa.RecordBatch, column: str, n: int) -> np.ndarray:
@@ -196,14 +197,18 @@ def _shard_rows(batch: pa.RecordBatch) -> Iterator[dict]:
         yield row | {"shard": batch["shard"][n].as_py(), "ids": batch["ids"][n].values, "terms": batch["terms"][n].as_py()}
 
 
-def _floor(tops: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[int]:
-    """The ``k`` highest impacts of different documents among lists' best ones."""
+def _floor(shard: Shard, terms: dict[str, int], tops: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[int]:
+    """Scores of the ``k`` documents to which a list of ``tops`` gives most."""
     if not tops:
         return []
     places, impact = (np.concatenate(x) for x in zip(*tops, strict=True))
     order = np.lexsort((-impact, places))
-    first = np.r_[True, np.diff(places[order]) != 0]
-    return np.sort(impact[order][first])[::-1][:k].tolist()
+    first = order[np.r_[True, np.diff(places[order]) != 0]]
+    found = np.sort(places[first[np.argsort(-impact[first], kind="stable")[:k]]])
+    score = np.zeros(len(shard.ids), np.int64)
+    for term in terms:
+        _add(score, found, *shard.list(term))
+    return np.sort(score[found])[::-1].tolist()
 
 
 def _top(own: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -216,8 +221,8 @@ def _top(own: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.nda
 
 def _pairs(block, documents: int, words: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Shards with the joint maxima of their pairs, the lists of those that some query is covered by, and
-        for each query the ``k`` best impacts that one of its terms or pairs gives different documents."""
+        """Shards with the documents and joint maxima of the pairs that queries may use, and for each query
+        the scores of the ``k`` documents that stand highest in one of its lists."""
         queries, weights = pickle.loads(block.value)
         pairs = sorted({p for own in queries.values() for p in partners(own)})
         for batch in batches:
@@ -230,86 +235,99 @@ def _pairs(block, documents: int, words: int, k: int):
                 for left, right in pairs:
                     own = both(shard.list(left), shard.list(right))
                     if len(own[0]):
-                        joint[left, right], tops[left, right] = own, _top(own, k)
+                        joint[left, right], tops[left, right] = own[0], _top(own, k)
                         most[left, right] = int(own[1].max())
-                bound = {t: most[t, t] for t in shard.span}
-                kept, floors = set(), []
+                floors = []
                 for own in queries.values():
-                    kept.update(terms for _, terms in cover(own, bound, most) if len(terms) == 2)
-                    floors.append(_floor([tops[p] for p in [*partners(own), *((t, t) for t in own)] if p in tops], k))
-                none = np.zeros(0, np.int32), np.zeros(0, np.int64)
-                lists = [joint[p] if p in kept and p in joint else none for p in most]
+                    floors.append(_floor(shard, own, [tops[p] for p in [*partners(own), *((t, t) for t in own)] if p in tops], k))
+                none = np.zeros(0, np.int32)
+                lists = [joint.get(p, none) for p in most]
                 left, right = zip(*most, strict=True) if most else ((), ())
                 added.append(
                     (
-                        left, right, most.values(), np.cumsum([len(x) for x, _ in lists], dtype=np.int64),
-                        np.concatenate([none[0], *(x for x, _ in lists)]), np.concatenate([none[1], *(x for _, x in lists)]), list(queries), floors,
+                        left, right, most.values(), np.cumsum([len(x) for x in lists], dtype=np.int64),
+                        np.concatenate([none, *lists]), list(queries), floors,
                     )
                 )
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            names = ["left", "right", "most", "pair_ends", "pair_places", "joint", "items", "floors"]
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
+            names = ["left", "right", "most", "pair_ends", "pair_places", "items", "floors"]
             columns = [pa.array([list(x) if not isinstance(x, np.ndarray) else x for x in c], pa.list_(t)) for c, t in zip(zip(*added, strict=True) if added else [()] * len(names), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *names])
 
     return run
 
 
-def cover(weights: dict[str, int], bound: dict[str, int], joint: dict[tuple[str, str], int]) -> list[tuple[int, tuple[str, ...]]]:
-    """Disjoint units of a query with their bounds, smallest first: pairs that save most, then single terms.
+def plan(
+    pairs: list[tuple[str, str]], sizes: dict[str, int], bound: dict[str, int], most: dict[tuple[str, str], int], least: int
+) -> tuple[list[str], list[int], dict[str, tuple[str, str]]]:
+    """Which of a query's terms stay closed in a shard.
 
-    A pair without a list has no document with both terms.
+    Gives the closed terms, longest lists of least impact first, the bounds of their first 0, 1, ... terms
+    together, and the terms that are opened only in the list of a pair. Documents outside the open lists
+    score less than ``least``. ``pairs`` are those that the index knows, ``most`` has the joint maxima; one of
+    them without a maximum has no document.
     """
-    saved = []
-    for left, right in partners({t: w for t, w in weights.items() if t in bound}):
-        most = max(bound[left], bound[right], joint.get((left, right), 0))
-        if most < bound[left] + bound[right]:
-            saved.append((bound[left] + bound[right] - most, left, right, most))
-    units, used = [], set()
-    for _, left, right, most in sorted(saved, reverse=True):
-        if left not in used and right not in used:
-            used |= {left, right}
-            units.append((most, (left, right)))
-    units += [(bound[t], (t,)) for t in weights if t in bound and t not in used]
-    return sorted(units)
-
-
-def max_score(shard: Shard, units: list[tuple[int, tuple[str, ...]]], lists: dict, least: int, k: int, seen: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    order = sorted(sizes, key=lambda t: (bound[t] / sizes[t], t))
+    known = {frozenset(p): p for p in pairs}
+    both_most = lambda a, b: max(bound[a], bound[b], most.get(known[frozenset((a, b))], 0))
+    closed, below, mate = [], [0], {}
+    for term in order:
+        adds, other = min([(bound[term], ""), *((both_most(term, c) - bound[c], c) for c in closed if c not in mate and frozenset((term, c)) in known)])
+        if below[-1] + adds >= least:
+            break
+        if other:
+            mate |= {term: other, other: term}
+        closed.append(term)
+        below.append(below[-1] + adds)
+    # What a bound loses with a closed term.
+    share = {c: both_most(c, mate[c]) - bound[mate[c]] if c in mate else bound[c] for c in closed}
+    top, used, paired = below[-1], set(), {}
+    for term in order[len(closed) :]:
+        choice = [
+            (top - share[c] + bound[term], c)
+            for c in closed
+            if c not in used and mate.get(c) not in used and frozenset((term, c)) in known and top - share[c] + bound[term] < least
+        ]
+        if choice:
+            without, other = min(choice)
+            top = max(top, without)
+            used.add(other)
+            paired[term] = known[frozenset((term, other))]
+    return closed, below, paired
+
+
+def max_score(shard: Shard, terms: dict[str, int], most: dict, lists: dict, least: int, k: int, seen: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Places and scores of the shard's documents that can be among the ``k`` best and score ``least`` or more.
 
-    ``lists`` has the joint impacts of pairs. ``seen`` counts postings opened and postings there.
+    ``lists`` has the documents of pairs. ``seen`` counts postings opened, looked up and there.
     """
-    below = np.cumsum([b for b, _ in units])
-    parts = [[shard.list(t) for t in terms] for _, terms in units]
-    seen[1] += sum(len(p) for own in parts for p, _ in own)
-    size = len(shard.ids)
-    # Units whose bounds together stay under the threshold open no document of their own.
-    first = int(np.searchsorted(below, max(least, 1), "left"))
-    score = np.zeros(size, np.int64)
-    for own in parts[first:]:
-        for places, impact in own:
-            score[places] += impact
-            seen[0] += len(places)
-    rest = int(below[first - 1]) if first else 0
-    alive = np.flatnonzero(score > 0)
-    for n in range(first - 1, -1, -1):
+    own = {t: shard.list(t) for t in terms if t in shard.span}
+    sizes, bound = {t: len(own[t][0]) for t in own}, {t: most[t, t] for t in own}
+    seen[2] += sum(sizes.values())
+    closed, below, paired = plan(partners(terms), sizes, bound, most, max(least, 1))
+    score, found = np.zeros(len(shard.ids), np.int64), np.zeros(len(shard.ids), bool)
+    for term in own.keys() - closed - paired.keys():
+        places, impact = own[term]
+        score[places] += impact
+        found[places] = True
+        seen[0] += len(places)
+    for pair in paired.values():
+        if pair in lists:
+            found[lists[pair]] = True
+            seen[0] += len(lists[pair])
+    alive = np.flatnonzero(found)
+    rest = below[-1] + sum(bound[t] for t in paired)
+    left = [(rest - sum(bound[x] for x in list(paired)[: n + 1]), t) for n, t in enumerate(paired)]
+    left += [(below[n], closed[n]) for n in range(len(closed) - 1, -1, -1)]
+    for after, term in left:
         if len(alive) > k:
             # The k-th best sum so far is a score that k documents reach.
             least = max(least, int(np.partition(score[alive], len(alive) - k)[len(alive) - k]))
         alive = alive[score[alive] + rest >= least]
-        rest = int(below[n - 1]) if n else 0
         if not len(alive):
             break
-        terms = units[n][1]
-        for (places, impact), other in zip(parts[n], [*parts[n][1:], None], strict=True):
-            if other is not None and terms in lists:
-                # Documents with both terms take their joint impact from the pair's list.
-                own_places, own_joint = lists[terms]
-                seen[0] += _add(score, alive, own_places, own_joint)
-                single = alive[~np.isin(alive, own_places, assume_unique=True)]
-                for some in parts[n]:
-                    seen[0] += _add(score, single, *some)
-                break
-            seen[0] += _add(score, alive, places, impact)
+        seen[1] += _add(score, alive, *own[term])
+        rest = after
     alive = alive[score[alive] >= max(least, 1)]
     if len(alive) > k:
         alive = alive[score[alive] >= np.partition(score[alive], len(alive) - k)[len(alive) - k]]
@@ -334,21 +352,19 @@ def _search(block, least: dict[int, int], documents: int, words: int, k: int, op
                 shard = Shard(row, weights, documents, words)
                 names = list(zip(batch["left"][n].as_py(), batch["right"][n].as_py(), strict=True))
                 most = dict(zip(names, batch["most"][n].as_py(), strict=True))
-                ends, places, joint = (_array(batch, c, n) for c in ("pair_ends", "pair_places", "joint"))
+                ends, places = (_array(batch, c, n) for c in ("pair_ends", "pair_places"))
                 starts = np.r_[0, ends][:-1]
-                lists = {p: (places[s:e], joint[s:e]) for p, s, e in zip(names, starts.tolist(), ends.tolist(), strict=True) if p[0] != p[1]}
-                bound = {p[0]: m for p, m in most.items() if p[0] == p[1]}
+                lists = {p: places[s:e] for p, s, e in zip(names, starts.tolist(), ends.tolist(), strict=True) if p[0] != p[1]}
                 found: list[tuple] = []
-                seen = [0, 0]
+                seen = [0, 0, 0]
                 for item, own in queries.items():
-                    units = cover(own, bound, most)
-                    if units:
-                        at, score = max_score(shard, units, lists, least.get(item, 1), k, seen)
-                        # Equal scores at the end of the list: the smaller doc_ids, null last.
-                        ids = [(-s, d is None, d or 0, d) for s, d in zip(score.tolist(), shard.ids.take(pa.array(at)).to_pylist(), strict=True)]
-                        found += [(item, d, -s) for s, _, _, d in sorted(ids, key=lambda x: x[:3])[:k]]
+                    at, score = max_score(shard, own, most, lists, least.get(item, 1), k, seen)
+                    # Equal scores at the end of the list: the smaller doc_ids, null last.
+                    ids = [(-s, d is None, d or 0, d) for s, d in zip(score.tolist(), shard.ids.take(pa.array(at)).to_pylist(), strict=True)]
+                    found += [(item, d, -s) for s, _, _, d in sorted(ids, key=lambda x: x[:3])[:k]]
                 if opened is not None:
-                    opened[0].add(seen[0]), opened[1].add(seen[1])
+                    for counter, n in zip(opened, seen, strict=True):
+                        counter.add(n)
                 columns = zip(*found, strict=True) if found else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["item_id", "doc_id", "score"])
 
@@ -360,7 +376,8 @@ def search(index: DataFrame, asked: DataFrame, k: int = 10, opened=None) -> Data
 
     ``asked`` are the ``item_id, term`` of ``query_terms``. Equal scores go by doc_id, null ones last. Items
     without terms, or whose terms no document has, give no rows; so does an index without documents. Rows that
-    repeat a doc_id are documents of their own. ``opened``, two accumulators, counts postings read and postings there.
+    repeat a doc_id are documents of their own. ``opened``: three accumulators that count
+    postings opened, looked up and there.
     """
     spark = session_of(index)
     weighted, documents, words = weigh(index, asked)
@@ -381,8 +398,8 @@ def search(index: DataFrame, asked: DataFrame, k: int = 10, opened=None) -> Data
 
 
 def thresholds(paired: DataFrame, k: int) -> dict[int, int]:
-    """A score that ``k`` documents reach, for each query that has as many: the k-th of the impacts that single
-    terms and pairs give different documents anywhere. One number a query of a block comes to the driver."""
+    """A score that ``k`` documents reach, for each query that has as many: the k-th of those that the shards
+    have scored beforehand. One number a query of a block comes to the driver."""
     each = paired.select(F.explode(F.arrays_zip("items", "floors")).alias("q")).select(F.col("q.items").alias("item"), F.explode("q.floors").alias("impact"))
     order = Window.partitionBy("item").orderBy(F.desc("impact"))
     kth = each.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).where(F.col("n") == k)
