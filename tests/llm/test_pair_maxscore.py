@@ -97,7 +97,7 @@ def test_bounds_hold_and_pairs_keep_more_lists_closed(seed):
         most |= {(a, b): max(lists[a][d] + lists[b][d] for d in docs) for (a, b), docs in joint.items() if docs}
         least = rng.randrange(5, 80)
         sizes, bound = {t: len(x) for t, x in lists.items()}, {t: most[t, t] for t in lists}
-        closed, below, paired = pair_maxscore.plan(pairs, sizes, bound, most, least)
+        closed, below, paired = pair_maxscore.plan(pairs, sizes, bound, most, least, [p for p in joint if rng.random() < 0.8])
         alone = pair_maxscore.plan([], sizes, bound, most, least)[0]
         assert len(closed) >= len(alone) and closed[: len(alone)] == alone
         found = {d for t in lists.keys() - set(closed) - paired.keys() for d in lists[t]} | {d for p in paired.values() for d in joint[p]}

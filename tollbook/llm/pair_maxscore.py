@@ -225,47 +225,46 @@ def _pairs(block, documents: int, words: int, k: int):
         the scores of the ``k`` documents that stand highest in one of its lists."""
         queries, weights = pickle.loads(block.value)
         pairs = sorted({p for own in queries.values() for p in partners(own)})
-        for batch in batches:
-            added = []
-            for row in _shard_rows(batch):
-                shard = Shard(row, weights, documents, words)
-                tops = {(t, t): _top(shard.list(t), k) for t in shard.span}
-                most = {p: int(own[1].max()) for p, own in tops.items()}
-                joint = {}
-                for left, right in pairs:
-                    own = both(shard.list(left), shard.list(right))
-                    if len(own[0]):
-                        joint[left, right], tops[left, right] = own[0], _top(own, k)
-                        most[left, right] = int(own[1].max())
-                floors = []
-                for own in queries.values():
-                    floors.append(_floor(shard, own, [tops[p] for p in [*partners(own), *((t, t) for t in own)] if p in tops], k))
-                none = np.zeros(0, np.int32)
-                lists = [joint.get(p, none) for p in most]
-                left, right = zip(*most, strict=True) if most else ((), ())
-                added.append(
-                    (
-                        left, right, most.values(), np.cumsum([len(x) for x in lists], dtype=np.int64),
-                        np.concatenate([none, *lists]), list(queries), floors,
-                    )
-                )
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
-            names = ["left", "right", "most", "pair_ends", "pair_places", "items", "floors"]
-            columns = [pa.array([list(x) if not isinstance(x, np.ndarray) else x for x in c], pa.list_(t)) for c, t in zip(zip(*added, strict=True) if added else [()] * len(names), kinds, strict=True)]
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
+        names = ["left", "right", "most", "pair_ends", "pair_places", "items", "floors"]
+        none = np.zeros(0, np.int32)
+        for batch in (b.slice(n, 1) for b in batches for n in range(b.num_rows)):
+            [row] = _shard_rows(batch)
+            shard = Shard(row, weights, documents, words)
+            tops = {(t, t): _top(shard.list(t), k) for t in shard.span}
+            most = {p: int(own[1].max()) for p, own in tops.items()}
+            joint = {}
+            for left, right in pairs:
+                one, other = shard.list(left), shard.list(right)
+                own = both(one, other)
+                if len(own[0]):
+                    tops[left, right], most[left, right] = _top(own, k), int(own[1].max())
+                    # A list about as long as its term's own saves nothing.
+                    if 2 * len(own[0]) <= min(len(one[0]), len(other[0])):
+                        joint[left, right] = own[0]
+            floors = [
+                _floor(shard, own, [tops[p] for p in [*partners(own), *((t, t) for t in own)] if p in tops], k) for own in queries.values()
+            ]
+            lists = [joint.get(p, none) for p in most]
+            added = (
+                [p[0] for p in most], [p[1] for p in most], list(most.values()), np.cumsum([len(x) for x in lists], dtype=np.int32),
+                np.concatenate([none, *lists]), list(queries), floors,
+            )
+            columns = [pa.array([c], pa.list_(t)) for c, t in zip(added, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *names])
 
     return run
 
 
 def plan(
-    pairs: list[tuple[str, str]], sizes: dict[str, int], bound: dict[str, int], most: dict[tuple[str, str], int], least: int
+    pairs: list[tuple[str, str]], sizes: dict[str, int], bound: dict[str, int], most: dict[tuple[str, str], int], least: int, listed=()
 ) -> tuple[list[str], list[int], dict[str, tuple[str, str]]]:
     """Which of a query's terms stay closed in a shard.
 
     Gives the closed terms, longest lists of least impact first, the bounds of their first 0, 1, ... terms
     together, and the terms that are opened only in the list of a pair. Documents outside the open lists
     score less than ``least``. ``pairs`` are those that the index knows, ``most`` has the joint maxima; one of
-    them without a maximum has no document.
+    them without a maximum has no document. ``listed`` are the pairs whose list is there.
     """
     order = sorted(sizes, key=lambda t: (bound[t] / sizes[t], t))
     known = {frozenset(p): p for p in pairs}
@@ -279,6 +278,7 @@ def plan(
             mate |= {term: other, other: term}
         closed.append(term)
         below.append(below[-1] + adds)
+    opens = lambda a, b: (p := known.get(frozenset((a, b)))) is not None and (p in listed or p not in most)
     # What a bound loses with a closed term.
     share = {c: both_most(c, mate[c]) - bound[mate[c]] if c in mate else bound[c] for c in closed}
     top, used, paired = below[-1], set(), {}
@@ -286,7 +286,7 @@ def plan(
         choice = [
             (top - share[c] + bound[term], c)
             for c in closed
-            if c not in used and mate.get(c) not in used and frozenset((term, c)) in known and top - share[c] + bound[term] < least
+            if c not in used and mate.get(c) not in used and opens(term, c) and top - share[c] + bound[term] < least
         ]
         if choice:
             without, other = min(choice)
@@ -304,7 +304,7 @@ def max_score(shard: Shard, terms: dict[str, int], most: dict, lists: dict, leas
     own = {t: shard.list(t) for t in terms if t in shard.span}
     sizes, bound = {t: len(own[t][0]) for t in own}, {t: most[t, t] for t in own}
     seen[2] += sum(sizes.values())
-    closed, below, paired = plan(partners(terms), sizes, bound, most, max(least, 1))
+    closed, below, paired = plan(partners(terms), sizes, bound, most, max(least, 1), lists)
     score, found = np.zeros(len(shard.ids), np.int64), np.zeros(len(shard.ids), bool)
     for term in own.keys() - closed - paired.keys():
         places, impact = own[term]
@@ -354,7 +354,7 @@ def _search(block, least: dict[int, int], documents: int, words: int, k: int, op
                 most = dict(zip(names, batch["most"][n].as_py(), strict=True))
                 ends, places = (_array(batch, c, n) for c in ("pair_ends", "pair_places"))
                 starts = np.r_[0, ends][:-1]
-                lists = {p: places[s:e] for p, s, e in zip(names, starts.tolist(), ends.tolist(), strict=True) if p[0] != p[1]}
+                lists = {p: places[s:e] for p, s, e in zip(names, starts.tolist(), ends.tolist(), strict=True) if e > s}
                 found: list[tuple] = []
                 seen = [0, 0, 0]
                 for item, own in queries.items():
