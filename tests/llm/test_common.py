@@ -27,6 +27,34 @@ def test_components(spark, seed):
     assert got == {n: find(n) for e in edges if e[0] != e[1] for n in e}
 
 
+@pytest.mark.parametrize("shape", ["path", "clique", "tree"])
+def test_rows_written_grow_with_the_nodes_of_a_group(spark, monkeypatch, shape):
+    """Stored rows for a group of one, two and four times the size."""
+    written, rows = common.written, []
+
+    def counted(frame, purpose):
+        out = written(frame, purpose)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(common, "written", counted)
+    totals = []
+    for size in (100, 200, 400):
+        rng = random.Random(1)
+        nodes = rng.sample(range(1 << 40), size)
+        edges = {
+            "path": list(zip(nodes, nodes[1:], strict=False)),
+            "clique": [(a, b) for n, a in enumerate(nodes) for b in nodes[n + 1 : n + 60]],
+            "tree": [(a, nodes[n // 2]) for n, a in enumerate(nodes) if n],
+        }[shape]
+        rows.clear()
+        rng.shuffle(edges)
+        got = common.components(spark.createDataFrame(edges, "a long, b long").repartition(16), "test")
+        assert {(r["node"], r["component"]) for r in got.collect()} == {(n, min(nodes)) for n in nodes}
+        totals.append(sum(rows))
+    assert totals[1] < 2.6 * totals[0] and totals[2] < 2.6 * totals[1]
+
+
 def test_no_edges(spark):
     assert common.components(spark.createDataFrame([], "a long, b long"), "test").count() == 0
 

@@ -6,6 +6,7 @@ import os
 import sys
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -128,42 +129,51 @@ def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _least_neighbour(edges: DataFrame) -> DataFrame:
-    return edges.join(edges.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("m")), "a")
-
-
-def _fingerprint(edges: DataFrame):
-    return edges.agg(
-        F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")
-    ).first()
+def _hooks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links ``(a, b)`` sorted by both: each ``a`` with its least ``b``, its parent, and its other ones with that one too."""
+    node = least = None
+    for batch in batches:
+        a, b = batch["a"].to_numpy(), batch["b"].to_numpy()
+        if not len(a):
+            continue
+        first = np.r_[a[0] != node, a[1:] != a[:-1]]
+        start = np.maximum.accumulate(np.where(first, np.arange(len(a)), -1))
+        own = np.where(start >= 0, b[np.maximum(start, 0)], least if least is not None else 0)
+        node, least = a[-1], own[-1]
+        keep = first | (b != own)
+        yield pa.RecordBatch.from_pydict(
+            {"a": np.where(first, a, b)[keep], "b": own[keep], "parent": first[keep]},
+            schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("parent", pa.bool_())]),
+        )
 
 
-def components(edges: DataFrame, purpose: str, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, purpose: str) -> DataFrame:
     """Connected groups of an edge list ``(a, b)`` of longs: ``(node, component)``.
 
-    ``component`` is the smallest node of the group. Every task first reduces its edges to
-    stars; then rounds link each node's larger neighbours, and after them its smaller ones, to
-    the least node it knows, until nothing changes. Every round is written to the shared folder.
-    Nodes without edges are not returned; an empty edge list gives no rows.
+    ``component`` is the smallest node of the group. A task first reduces its edges to stars, so a node has one link
+    a task at most, however many edges there are. Then each node takes the least node it is linked with as its parent and
+    ties the others to that one. Nodes that are nobody's parent are settled by this; only the others go into the next
+    round, whose answer is passed down at the end. Rounds shrink fast, as long as the numbers of neighbours are in
+    no order (they are hashes here). Everything is written to the shared folder. Nodes without edges are
+    not returned; an empty edge list gives no rows.
     """
-    current = written(map_arrow(edges.where("a <> b").select("a", "b"), forest, "a long, b long"), purpose)
-    seen = _fingerprint(current)
-    for _ in range(most_rounds):
-        both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _least_neighbour(both.distinct()).where("b > a")
-        large = large.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        small = _least_neighbour(large)
-        small = small.select(
-            F.explode(
-                F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
-            ).alias("e")
-        )
-        current = written(small.select("e.a", "e.b").where("a <> b").distinct(), purpose)
-        now = _fingerprint(current)
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError("groups did not settle")
-    roots = current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    links = "a long, b long"
+    current = written(map_arrow(edges.where("a <> b").select("a", "b"), forest, links), purpose)
+    levels: list[DataFrame] = []
+    while not current.isEmpty():
+        met = current.repartition("a").sortWithinPartitions("a", "b")
+        hooked = written(map_arrow(met, _hooks, f"{links}, parent boolean"), purpose)
+        parents, tied = hooked.where("parent").select("a", "b"), hooked.where("not parent").select("a", "b")
+        levels.append(parents)
+        # Parents that have a parent themselves, or more than one way down.
+        inner = hooked.select(F.col("b").alias("a")).unionByName(tied.select("a")).distinct()
+        current = written(map_arrow(tied.unionByName(parents.join(inner, "a", "left_semi")), forest, links), purpose)
+    if not levels:
+        return edges.limit(0).select(F.col("a").alias("node"), F.col("b").alias("component"))
+    settled = levels.pop()
+    while levels:
+        above = settled.select(F.col("a").alias("b"), F.col("b").alias("top"))
+        passed = levels.pop().join(above, "b", "left").select("a", F.coalesce("top", "b").alias("b"))
+        settled = written(passed.unionByName(settled).distinct(), purpose)
+    roots = settled.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return settled.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

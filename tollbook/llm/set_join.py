@@ -345,7 +345,7 @@ def _joined(documents: DataFrame, words: int, percent: int, doc_id: str, text: s
     tied = map_arrow(
         kept.repartition("token").sortWithinPartitions("token", "n", "sid"), _chains(percent), "a long, b long"
     )
-    clusters = components(tied.distinct(), "candidates").withColumnRenamed("component", "cluster")
+    clusters = components(tied, "candidates").withColumnRenamed("component", "cluster")
     blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
     side = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
     members = (
