@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tollbook.llm.common import chunks, map_arrow, rename_free
+from tollbook.llm.common import chunks, forget, map_arrow, rename_free
 
 NONE = np.int32(2**31 - 1)
 # The split pattern for which texts may be cut at single spaces first; a fixed value.
@@ -200,10 +200,8 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self.units(text) for text in texts]
-        if len(self.known) > CACHE_PIECES:
-            self.known = {}
-        if len(self.pieces) > CACHE_PIECES:
-            self.pieces = {}
+        forget(self.known, CACHE_PIECES)
+        forget(self.pieces, CACHE_PIECES)
         fresh = list({unit for units in cut for unit in units if unit not in self.known})
         split = list(map(self.split.findall, fresh))
         new = list({piece for pieces in split for piece in pieces if piece not in self.pieces})
@@ -218,6 +216,12 @@ class Encoder:
         return b"".join(map(self.words.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+@lru_cache(maxsize=4)
+def encoder_of(path: str, pattern: str) -> Encoder:
+    """One encoder a worker process, with the words that its tasks have met."""
+    return Encoder(path, pattern)
+
+
 def encode(
     documents: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -228,7 +232,7 @@ def encode(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, pattern)
+        encoder = encoder_of(path, pattern)
         for part in chunks(batches, "text"):
             ids = [np.frombuffer(x, "<u4") for x in encoder.encode([t or "" for t in part["text"].to_pylist()])]
             yield pa.RecordBatch.from_arrays(
@@ -259,7 +263,7 @@ def encode_digest(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, pattern)
+        encoder = encoder_of(path, pattern)
         for part in chunks(batches, "text"):
             ids = encoder.encode([t or "" for t in part["text"].to_pylist()])
             yield pa.RecordBatch.from_arrays(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,13 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]
             yield table.slice(start)
 
 
+def forget(known: dict, most: int) -> None:
+    """Drop the older half of what a worker remembers once there is more than ``most``."""
+    if len(known) > most:
+        for key in list(islice(known, len(known) // 2)):
+            del known[key]
+
+
 def written(frame: DataFrame, purpose: str) -> DataFrame:
     """The frame as stored in the shared folder: lineage is cut and lost executors cost nothing."""
     spark = session_of(frame)

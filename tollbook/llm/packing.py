@@ -12,6 +12,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tollbook.llm.common import chunks, map_arrow, rename_free, session_of, written
+from tollbook.llm.common import chunks, forget, map_arrow, rename_free, session_of, written
 
 CAPACITY = 2048
 PARTITION_PIECES = 20_000
@@ -75,8 +76,7 @@ class WordTokenizer:
         return [head.lower() if head.isascii() else head, *([tail] if tail else [])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
+        forget(self.known, CACHE_WORDS)
         cut = [[text] if ODD_SPACE.search(text) else text.split() for text in texts]
         fresh = set().union(*cut).difference(self.known)
         whole = [w for w in fresh if w.isalpha()]
@@ -96,6 +96,12 @@ class WordTokenizer:
         return out
 
 
+@lru_cache(maxsize=4)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One tokenizer a worker process, with the words that its tasks have met."""
+    return WordTokenizer(path)
+
+
 def pieces(
     documents: DataFrame,
     tokenizer: str,
@@ -112,7 +118,7 @@ def pieces(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = WordTokenizer(tokenizer)
+        model = word_tokenizer(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         for part in chunks(batches, "text"):
             ids = model.encode([t or "" for t in part["text"].to_pylist()])

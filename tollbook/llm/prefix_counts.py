@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tollbook.llm.common import chunks, map_arrow, rename_free
+from tollbook.llm.common import chunks, forget, map_arrow, rename_free
 
 SPACE = "▁"
 # Units and pairs a worker remembers; the older half goes when there are more.
@@ -29,13 +29,6 @@ MOST_UNITS, MOST_PAIRS = 600_000, 500_000
 PREFIXES = "doc_id long, n_bytes long, n_tokens long, steps binary"
 
 
-def _forget(known: dict, most: int) -> None:
-    """Drop the older half of a full dictionary."""
-    if len(known) > most:
-        for key in list(known)[: len(known) // 2]:
-            del known[key]
-
-
 class PrefixCounter:
     """Prefix counts under a sentencepiece BPE model with byte fallback.
 
@@ -174,10 +167,10 @@ class PrefixCounter:
         return b"".join([known.get(u) or fresh(u) for u in self.unit.findall(SPACE + text.replace(" ", SPACE)) if u])
 
     def _fresh(self, unit: str) -> bytes:
-        _forget(self.apart, MOST_PAIRS)
+        forget(self.apart, MOST_PAIRS)
         own = self.steps(unit)
         if len(unit) < 100:
-            _forget(self.known, MOST_UNITS)
+            forget(self.known, MOST_UNITS)
             self.known[unit] = own
         return own
 
