@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -24,9 +25,28 @@ def library():
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.text(alphabet=st.characters(max_codepoint=0x24FF, exclude_categories=("Cs", "Cn")), max_size=40), max_size=4))
 def test_ids_equal_the_library(texts):
+    model = packing.word_tokenizer(PATH)
+    data, ends = model.encode(pa.array([*texts, None], pa.string()))
+    for text, start, end in zip([*texts, ""], [0, *ends.tolist()], ends.tolist(), strict=False):
+        assert np.frombuffer(data[start:end], "<u4").tolist() == model.model.encode(text, add_special_tokens=False).ids
+
+
+def test_space_of_all_kinds_and_long_words():
+    texts = ["a\u3000b\xa0c", "x\x1cy\x1fz", " lead and trail \n", "\x85", "A\u2003B.", "w" * 250 + " " + "w" * 250, "e\u0301 \u0301", "", " "]
+    model = packing.WordTokenizer(PATH)
+    data, ends = model.encode(pa.array(texts))
+    for text, start, end in zip(texts, [0, *ends.tolist()], ends.tolist(), strict=False):
+        assert np.frombuffer(data[start:end], "<u4").tolist() == model.model.encode(text, add_special_tokens=False).ids
+
+
+def test_cache_is_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 4)
     model = packing.WordTokenizer(PATH)
-    for text, got in zip(texts, model.encode(texts), strict=True):
-        assert np.frombuffer(got, "<u4").tolist() == model.model.encode(text, add_special_tokens=False).ids
+    for n in range(5):
+        text = f"word{n} some. of many, words {n}"
+        data, ends = model.encode(pa.array([text]))
+        assert np.frombuffer(data[: ends[0]], "<u4").tolist() == model.model.encode(text, add_special_tokens=False).ids
+    assert len(model.known) < 25
 
 
 def check(frame, capacity):

@@ -9,7 +9,6 @@ pack it again, and so on until one pool is left.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -17,6 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,15 +30,14 @@ MOST_RETURNED = PARTITION_PIECES // POOL
 CACHE_WORDS = 400_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, pool long, bin long, offset long, open boolean, bins long, bound long"
-# White space on which the tokenizer and str.split differ.
-ODD_SPACE = re.compile("[\x1c-\x1f]")
 # Punctuation that ends a word and is always a token run of its own.
 TAIL = ".,;:!?*#$%&|"
+CLOSING = rf"(\pL)([{TAIL}]+)([\t\n\v\f\r ]|$)"
 
 
 class WordTokenizer:
     """Ids of whole texts. White space always separates tokens of this vocabulary, so words are
-    encoded once and remembered."""
+    encoded once and remembered. Other white space than ASCII's stays in a word, which the library then cuts."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -67,34 +66,33 @@ class WordTokenizer:
         found.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(rest, alone, strict=True))
         return [found[p] for p in parts]
 
-    @staticmethod
-    def parts(word: str) -> list[str]:
-        head = word.rstrip(TAIL)
-        if not head.isalpha():
-            return [word]
-        tail = word[len(head) :]
-        return [head.lower() if head.isascii() else head, *([tail] if tail else [])]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def learn(self, words: list[str]) -> list[bytes]:
+        """Ids of each word; those met for the first time are encoded together."""
         forget(self.known, CACHE_WORDS)
-        cut = [[text] if ODD_SPACE.search(text) else text.split() for text in texts]
-        fresh = set().union(*cut).difference(self.known)
-        whole = [w for w in fresh if w.isalpha()]
-        other = {w: self.parts(w) for w in fresh.difference(whole)}
-        parts = {p for some in other.values() for p in some}
-        parts = [*whole, *parts.difference(whole).difference(self.known)]
-        new = dict(zip(parts, self._ids(parts), strict=True))
-        for word, some in other.items():
-            new[word] = b"".join([new[p] if p in new else self.known[p] for p in some])
-        self.known.update(new if max(map(len, new), default=0) < 100 else {k: v for k, v in new.items() if len(k) < 100})
-        out = []
-        for words in cut:
-            try:
-                out.append(b"".join(map(self.known.__getitem__, words)))
-            except KeyError:
-                out.append(b"".join(self.known[w] if w in self.known else new[w] for w in words))
+        fresh = list(set(words).difference(self.known))
+        new = dict(zip(fresh, self._ids(fresh), strict=True))
+        self.known.update(new)
+        out = list(map(self.known.__getitem__, words))
+        for word in [w for w in fresh if len(w) >= 100]:
+            del self.known[word]
         return out
 
+    def encode(self, texts: pa.Array) -> tuple[memoryview, np.ndarray]:
+        """The ids of all texts behind each other, and where each text's ids end in bytes.
+
+        Arrow cuts the texts at ASCII white space and before closing marks, numbers the different words
+        and sets their ids in place of them; only different words are looked at one by one.
+        """
+        texts = texts.cast(pa.large_string())
+        # The vocabulary has lower case only. Beside other letters than ASCII's, case is left to the library.
+        texts = pc.if_else(pc.string_is_ascii(texts), pc.ascii_lower(texts), texts)
+        cut = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, CLOSING, r"\1 \2\3"))
+        words = cut.flatten().dictionary_encode()
+        ids = pa.array(self.learn(words.dictionary.to_pylist()), pa.large_binary()).take(words.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, 8 * ids.offset) if len(ids) else np.zeros(1, np.int64)
+        data = memoryview(ids.buffers()[2]) if len(ids) and ids.buffers()[2] is not None else memoryview(b"")
+        return data, ends[np.cumsum(pc.fill_null(pc.list_value_length(cut), 0).to_numpy(zero_copy_only=False), dtype=np.int64)]
+
 
 @lru_cache(maxsize=4)
 def word_tokenizer(path: str) -> WordTokenizer:
@@ -121,10 +119,11 @@ def pieces(
         model = word_tokenizer(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         for part in chunks(batches, "text"):
-            ids = model.encode([t or "" for t in part["text"].to_pylist()])
+            ids, ends = model.encode(part["text"].combine_chunks())
+            starts = [0, *ends.tolist()]
             rows: list[list] = [[], [], [], [], [], []]
-            for key, tokens in zip(part["doc_id"].to_pylist(), ids, strict=True):
-                tokens += end
+            for n, key in enumerate(part["doc_id"].to_pylist()):
+                tokens = bytes(ids[starts[n] : starts[n + 1]]) + end
                 for piece, start in enumerate(range(0, len(tokens) // 4, capacity)):
                     own = tokens[4 * start : 4 * (start + capacity)]
                     for column, value in zip(rows, (key, piece, start, len(own) // 4, zlib.crc32(own), own), strict=True):
