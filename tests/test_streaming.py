@@ -8,10 +8,11 @@ from datetime import datetime, timedelta
 import pytest
 
 from star_rows import NOW, event, rows_of
+from tollbook.operators.monitoring import activity_snapshot
 from tollbook.schemas import CDR_EVENTS
 from tollbook.sources.raw import FACT_HEADERS
 from tollbook.sources.tables import create_store, load_table
-from tollbook.streaming.activity import activity_stream, activity_windows, append_to_files
+from tollbook.streaming.activity import activity_stream, activity_windows, append_to_files, customer_stream, open_activity, publish_open
 from tollbook.streaming.freshness import freshness_stream, latest_health
 from tollbook.streaming.ingest import ingest_stream
 
@@ -151,3 +152,49 @@ def test_health_after_a_restart(spark, tmp_path):
     new = write_files(spark, str(tmp_path / "in2"), [[event(3, 1, NOW - timedelta(minutes=5))]])
     freshness_stream(new, NOW, out, str(tmp_path / "c2")).awaitTermination()
     assert rows_of(latest_health(spark, out))[0]["minutes_since_last_record"] == 5
+
+
+def test_open_windows_are_published_after_every_trigger(spark, star, tmp_path):
+    """Every trigger brings one file; the published hour equals the report over the same facts."""
+    now = START + timedelta(hours=2, minutes=59)
+    batches = [hourly([5, 130, 140]), hourly([150, 121, 100], first=10), hourly([170, 171, 175], first=20)]
+    folder, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "c"))
+    seen = []
+    for events in batches:
+        stream = write_files(spark, folder, [events])
+        publish_open(customer_stream(stream, "1 hour", "1 hour"), out, checkpoint).awaitTermination()
+        seen += events
+        tables = star(seen)
+        hour = next(r for r in rows_of(activity_snapshot(tables, now + timedelta(minutes=1))) if r["metric_type"] == "current_hour")
+        windows = {r["window_start"]: r for r in rows_of(open_activity(spark, out))}
+        got = windows[START + timedelta(hours=2)]
+        for column in ("event_count", "active_users", "total_revenue", "avg_transaction_value"):
+            assert got[column] == hour[column], column
+        assert windows[START]["event_count"] == 1
+        assert len(windows) == len({e["creation_time"].hour for e in seen})
+
+
+def test_a_replayed_batch_changes_nothing(spark, tmp_path):
+    folder, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "c"))
+    stream = write_files(spark, folder, [hourly([5, 130, 140]), hourly([150, 121], first=10)])
+    publish_open(customer_stream(stream), out, checkpoint).awaitTermination()
+    before = sorted(map(str, rows_of(open_activity(spark, out))))
+    # The last batch did not get as far as being marked as done.
+    newest = max((name for name in os.listdir(os.path.join(checkpoint, "commits")) if name.isdigit()), key=int)
+    for name in (newest, f".{newest}.crc"):
+        os.remove(os.path.join(checkpoint, "commits", name))
+    again = spark.readStream.schema(CDR_EVENTS).option("maxFilesPerTrigger", 1).parquet(folder)
+    publish_open(customer_stream(again), out, checkpoint).awaitTermination()
+    assert sorted(map(str, rows_of(open_activity(spark, out)))) == before
+
+
+def test_late_rows_of_long_runs_are_all_counted(spark, tmp_path):
+    """A query remembers its last reports only; the count does not depend on them."""
+    kept = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        batches = [hourly([600]), hourly([601], first=9_200), *(hourly([m], first=100 * m) for m in (10, 20, 30, 40)), hourly([900], first=9_000), hourly([901], first=9_100)]
+        stream = write_files(spark, str(tmp_path / "in"), batches)
+        assert append_to_files(activity_stream(stream), str(tmp_path / "out"), str(tmp_path / "c")) == 4
+    finally:
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", kept)

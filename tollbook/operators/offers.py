@@ -26,6 +26,7 @@ from tollbook.functions.categories import (
     category,
     mentions,
 )
+from tollbook.functions.folds import folded_window
 from tollbook.functions.measures import (
     mean,
     mean_or_zero,
@@ -96,13 +97,13 @@ def offer_performance(tables: Tables, as_of: datetime | None = None) -> DataFram
 
 def _monthly_offers(tables: Tables, as_of: datetime, months: int) -> DataFrame:
     return (
-        trailing(tables["cdr_events"], as_of, months, "MONTH")
+        folded_window(tables, "offer_months", as_of, months)
         .join(tables["offers"], "offer_id")
-        .groupBy(month_start(F.col("creation_time")).alias("month"), "offer_name")
+        .groupBy("month", "offer_name")
         .agg(
             F.count_distinct("cust_num").alias("unique_subscribers"),
-            rows().alias("total_subscriptions"),
-            total(F.col("deduct_amount")).alias("monthly_revenue"),
+            F.sum("events").alias("total_subscriptions"),
+            total(F.col("deducted")).alias("monthly_revenue"),
         )
         .withColumn("month", month_label(F.col("month")))
     )

@@ -9,8 +9,9 @@ from decimal import Decimal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tollbook.functions.calendar import month_label, month_start, trailing
+from tollbook.functions.calendar import month_label, month_start
 from tollbook.functions.categories import LOAN_FRAGMENTS, mentions
+from tollbook.functions.folds import folded_window
 from tollbook.functions.measures import (
     USAGE_OPERATIONS,
     mean,
@@ -48,17 +49,8 @@ def revenue_by_offer_month(
 
 def _monthly_by_type(tables: Tables, as_of: datetime, months: int) -> DataFrame:
     """Deductions per month and customer type, by way of one row per customer and month."""
-    per_customer = (
-        trailing(tables["cdr_events"], as_of, months, "MONTH")
-        .groupBy("cust_num", month_start(F.col("creation_time")).alias("month"))
-        .agg(
-            F.sum("deduct_amount").alias("deducted"),
-            F.count("deduct_amount").alias("deductions"),
-            rows().alias("events"),
-        )
-    )
     return (
-        with_customer_type(per_customer, tables)
+        with_customer_type(folded_window(tables, "customer_months", as_of, months), tables)
         .groupBy("month", "cust_type")
         .agg(
             F.sum("deducted").alias("deducted"),
@@ -103,17 +95,17 @@ def arpu(tables: Tables, as_of: datetime, months: int = 12) -> DataFrame:
 
 def balance_flow(tables: Tables, as_of: datetime, months: int = 12) -> DataFrame:
     """Money in, money out and the mean balance left, per month."""
-    charged = F.sum(zero_if_null(F.col("charge_amount")))
-    deducted = F.sum(zero_if_null(F.col("deduct_amount")))
+    charged = F.sum(zero_if_null(F.col("charged")))
+    deducted = F.sum(zero_if_null(F.col("deducted")))
     return (
-        trailing(tables["cdr_events"], as_of, months, "MONTH")
-        .groupBy(month_start(F.col("creation_time")).alias("month"))
+        folded_window(tables, "customer_months", as_of, months)
+        .groupBy("month")
         .agg(
             charged.cast("double").alias("total_charged"),
             deducted.cast("double").alias("total_deducted"),
             (charged - deducted).cast("double").alias("net_balance_change"),
-            mean(F.col("current_amount_post")).alias("avg_final_balance"),
-            F.count_distinct("cust_num").alias("active_customers"),
+            safe_ratio(F.sum("left_over"), F.sum("balances")).alias("avg_final_balance"),
+            F.count("cust_num").alias("active_customers"),
         )
         .withColumn("month", month_label(F.col("month")))
         .orderBy("month")

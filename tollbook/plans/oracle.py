@@ -510,14 +510,18 @@ FROM facts""",
 
 def _windows(unit: str) -> str:
     """Windows that end no later than the newest fact less the one-hour delay."""
+    return f"""{_all_windows(unit)}
+HAVING window_end <= (SELECT max(creation_time) FROM facts) - INTERVAL 1 HOUR"""
+
+
+def _all_windows(unit: str) -> str:
     return f"""
 SELECT date_trunc('{unit}', creation_time) AS window_start,
        date_trunc('{unit}', creation_time) + INTERVAL 1 {unit} AS window_end,
        count(*) AS event_count, count(DISTINCT cust_num) AS active_users,
        sum(coalesce(deduct_amount, 0))::DOUBLE AS total_revenue,
        sum(coalesce(deduct_amount, 0))::DOUBLE / count(*) AS avg_transaction_value
-FROM facts GROUP BY window_start, window_end
-HAVING window_end <= (SELECT max(creation_time) FROM facts) - INTERVAL 1 HOUR"""
+FROM facts GROUP BY window_start, window_end"""
 
 
 ON_EVENTS["table_append"] = """
@@ -528,6 +532,7 @@ SELECT cdr_event_id, cdr_event_id::VARCHAR AS cdr_id, creation_time, cust_num, o
        current_amount_expire_time, strftime(creation_time, '%Y-%m') AS event_month
 FROM facts"""
 ON_EVENTS["stream_activity"] = _windows("hour")
+ON_EVENTS["stream_activity_open"] = _all_windows("hour")
 ON_EVENTS["stream_activity_daily"] = _windows("day")
 
 ON_LINEITEM = {
@@ -944,6 +949,12 @@ for _name, _loan in (("next_offer", "Loan Users"), ("customer_offer_preferences"
         "CASE WHEN", f"CASE WHEN {_any('offer_name', 'loan')} THEN '{_loan}' WHEN", 1
     )
 
+for _name in ("arpu", "balance_flow", "revenue_trend_by_type", "offer_trend"):
+    ON_LINEITEM[f"{_name}_from_partials"] = ON_LINEITEM[_name]
+ON_LINEITEM["spending_sketches"] = f"""
+SELECT count(DISTINCT cust_num) AS active_customers, true AS customers_close, true AS percentiles_close
+FROM facts WHERE creation_time >= {LINEITEM_NOW} - INTERVAL 12 MONTH"""
+
 
 def all_oracles() -> dict[str, str]:
     return {

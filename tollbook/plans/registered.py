@@ -10,15 +10,18 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tollbook.functions.calendar import shifted
 from tollbook.functions.categories import PREFERENCE_RULES, RECOMMENDATION_RULES
+from tollbook.functions.folds import folded_window
+from tollbook.plans.partials import approximate_spending, refresh_partials, tables_with_partials
 from tollbook.plans.reports import REPORTS
 from tollbook.schemas import seed_tables
 from tollbook.session import shared_folder
 from tollbook.sources import conform, sample_star
 from tollbook.sources.load import load_extract, load_summary, refused_facts
 from tollbook.sources.raw import FACT_HEADERS, read_raw
-from tollbook.sources.tables import append_table, create_store, load_table, reset_facts
-from tollbook.streaming.activity import activity_stream, append_to_files
+from tollbook.sources.tables import Tables, append_table, create_store, load_table, reset_facts
+from tollbook.streaming.activity import activity_stream, append_to_files, customer_stream, open_activity, publish_open
 from tollbook.streaming.freshness import freshness_stream, latest_health
 from tollbook.streaming.ingest import ingest_stream
 
@@ -117,6 +120,48 @@ def _dimension(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return _new_dimensions(spark, sf_dir, _conformed(spark, sf_dir))[name]
 
 
+FROM_PARTIALS = ("arpu", "balance_flow", "revenue_trend_by_type", "offer_trend")
+
+
+def _with_partials(spark: SparkSession, sf_dir: str) -> Tables:
+    """A store whose facts came in two appends, with partials refreshed after each."""
+    tables_of, as_of = PROFILES["lineitem"]
+    tables, root = tables_of(spark, sf_dir), shared_folder(spark, "store")
+    create_store(spark, root)
+    early = F.col("creation_time") < shifted(as_of, -6, "MONTH")
+    for part in (early, ~early):
+        append_table(tables["cdr_events"].filter(part), root, "cdr_events")
+        refresh_partials(spark, root)
+    stored = tables_with_partials(spark, root)
+    return {**stored, **{name: tables[name] for name in ("customers", "offers")}}
+
+
+def _from_partials(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return REPORTS[name](_with_partials(spark, sf_dir), PROFILES["lineitem"][1])
+
+
+def spending_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct customers of a year, and whether the sketches come as close to them, and to the median and
+    the 80th percentile of a customer's spending in a month, as they promise."""
+    tables, as_of = _with_partials(spark, sf_dir), PROFILES["lineitem"][1]
+    guess = approximate_spending(tables, as_of)
+    folded = folded_window(tables, "customer_months", as_of, 12)
+    spent = F.coalesce("deducted", F.lit(0)).cast("double")
+    spending, customers = guess.select("spending").scalar(), guess.select("active_customers").scalar()
+    below = lambda n: F.avg((spent < spending.getItem(n)).cast("double"))
+    up_to = lambda n: F.avg((spent <= spending.getItem(n)).cast("double"))
+    counted = folded.agg(
+        F.count_distinct("cust_num").alias("active_customers"),
+        *(f(n).alias(f"{name}{n}") for n in (0, 1) for name, f in (("below", below), ("up_to", up_to))),
+    )
+    close = [(F.col(f"below{n}") <= share + 0.02) & (F.col(f"up_to{n}") >= share - 0.02) for n, share in ((0, 0.5), (1, 0.8))]
+    return counted.select(
+        "active_customers",
+        (F.abs(customers - F.col("active_customers")) <= 0.05 * F.col("active_customers")).alias("customers_close"),
+        (close[0] & close[1]).alias("percentiles_close"),
+    )
+
+
 def raw_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The extract written to JSON lines and read back as a raw source."""
     folder = shared_folder(spark, "extract")
@@ -279,6 +324,13 @@ def stream_activity(spark: SparkSession, sf_dir: str, width: str = "1 hour") ->
     return spark.read.parquet(target)
 
 
+def stream_activity_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "activity")
+    target = os.path.join(folder, "versions")
+    publish_open(customer_stream(_fact_stream(spark, sf_dir)), target, os.path.join(folder, "checkpoint")).awaitTermination()
+    return open_activity(spark, target)
+
+
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = shared_folder(spark, "store")
     create_store(spark, root)
@@ -328,10 +380,16 @@ def stream_queries() -> dict[str, Query]:
     return {
         "stream_activity": stream_activity,
         "stream_activity_daily": partial(stream_activity, width="1 day"),
+        "stream_activity_open": stream_activity_open,
         "stream_ingest": stream_ingest,
         "stream_freshness": stream_freshness,
     }
 
 
+def partial_queries() -> dict[str, Query]:
+    queries = {f"{name}_from_partials": partial(_from_partials, name) for name in FROM_PARTIALS}
+    return {**queries, "spending_sketches": spending_sketches}
+
+
 def all_queries() -> dict[str, Query]:
-    return {**report_queries(), **ingest_queries(), **stream_queries()}
+    return {**report_queries(), **partial_queries(), **ingest_queries(), **stream_queries()}

@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tollbook.schemas import EVENT_MONTH, seed_tables
+from tollbook.schemas import EVENT_MONTH, no_rows, seed_tables
 from tollbook.sources import conform
+from tollbook.sources.files import remove_folder, subfolders
+from tollbook.sources.key_index import known_ids
 from tollbook.sources.tables import append_table, load_table
 
 
@@ -59,11 +61,6 @@ class LoadResult(dict):
     repeated = 0
 
 
-def remove_folder(spark: SparkSession, path: str) -> None:
-    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(location, True)
-
-
 def load_extract(
     spark: SparkSession,
     root: str,
@@ -110,7 +107,7 @@ def load_extract(
     complete = conform.drop_invalid(staged)
     # The judged facts are written once, for the table and for the refused both read them.
     judged_at = os.path.join(root, "_staged", f"{batch}-facts")
-    facts = conform.new_events(complete, stored("cdr_events"))
+    facts = conform.new_events(complete, known_ids(spark, root, complete))
     judged = conform.judge_references(facts, *[stored(name) for name in REFERENCES])
     judged.write.mode("overwrite").parquet(judged_at)
     judged = spark.read.schema(judged.schema).parquet(judged_at)
@@ -134,15 +131,32 @@ def refused_facts(spark: SparkSession, root: str) -> DataFrame:
     layout = T.StructType(
         [field for field in stored.schema if field.name != EVENT_MONTH]
     ).add("refused_because", "string")
-    kept = spark.read.schema(layout).parquet(os.path.join(root, "_refused", "*"))
-    return kept.dropDuplicates(["cdr_id"]).join(stored.select("cdr_id"), "cdr_id", "left_anti")
+    folders = subfolders(spark, os.path.join(root, "_refused"))
+    if not folders:
+        return no_rows(spark, layout)
+    kept = spark.read.schema(layout).parquet(*(os.path.join(root, "_refused", name) for name in folders))
+    once = kept.dropDuplicates(["cdr_id"])
+    known = known_ids(spark, root, once)
+    return once if known is None else once.join(known, "cdr_id", "left_anti")
 
 
 def retry_refused(spark: SparkSession, root: str) -> int:
-    """Add refused facts whose references have arrived since; returns how many."""
-    waiting = refused_facts(spark, root).drop("refused_because")
+    """Add refused facts whose references have arrived since; returns how many.
+
+    What still waits replaces the folders of all loads so far, so that they do not pile up.
+    """
+    old = subfolders(spark, os.path.join(root, "_refused"))
     known = [load_table(spark, root, name) for name in REFERENCES]
+    kept_at = os.path.join(root, "_refused", f"kept-{uuid.uuid4().hex}")
+    judged = conform.judge_references(refused_facts(spark, root).drop("refused_because"), *known)
+    staged_at = os.path.join(root, "_staged", uuid.uuid4().hex)
+    judged.write.parquet(staged_at)
+    judged = spark.read.schema(judged.schema).parquet(staged_at)
     seen = Observation()
-    facts = conform.enforce_references(waiting, *known)
+    facts = judged.filter(F.col("refused_because").isNull()).drop("refused_because")
     append_table(facts.observe(seen, F.count(F.lit(1)).alias("n")), root, "cdr_events")
+    judged.filter(F.col("refused_because").isNotNull()).write.parquet(kept_at)
+    for name in old:
+        remove_folder(spark, os.path.join(root, "_refused", name))
+    remove_folder(spark, staged_at)
     return rows_seen(seen)
