@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import itertools
+import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -81,3 +84,49 @@ def test_boosted_trees_learn_an_interaction():
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.5)).astype(float)
     fitted = html_main.Boosted.fit(x[:1500], y[:1500])
     assert ((fitted.chance(x[1500:]) > 0.5) == y[1500:]).mean() > 0.95
+
+
+@pytest.mark.parametrize(
+    "part",
+    ['<a "', "<a '", "<!--", "<![", "<div ", "<div>", "<section>", "<table>", "<li><section>", "<p><i ", "<a b='", "<div a", "</x>", "<div></x>", "<<", "<a<a", "&lt", '"x="', "<script>", "x \t"],
+)
+def test_broken_pages_take_linear_time(part):
+    started = time.perf_counter()
+    nodes = html_main.parse(part * (1_000_000 // len(part)) + ">end")
+    assert time.perf_counter() - started < 20
+    assert nodes[0].tag == "#root"
+
+
+def test_quotes_and_unclosed_tags():
+    text = lambda page: [n.text for n in html_main.parse(page) if n.text]
+    assert text('<p title="a > b">x</p>y') == ["x", "y"]
+    assert text("""<p title='a " > b'>x""") == ["x"]
+    assert text('a <u "c') == ['a <u "c']
+    assert text("1 < 2 <p>3 <!-- never closed <p>x") == ["1 < 2", "3"]
+    assert text("a <! b") == ["a <! b"] and text("a <!doctype b>c") == ["a c"]
+    node = html_main.parse("""<div class='ad' id=sidebar data-x="<p>" hidden>x</div>""")[1]
+    assert node.hidden and sum(node.groups) == 2
+
+
+def plain_best(nodes, chance):
+    """The likeliest labelling of all in which the root and the parents of chosen nodes are chosen."""
+    best = -math.inf, ()
+    for rest in itertools.product((0, 1), repeat=len(nodes) - 1):
+        chosen = (1, *rest)
+        if all(chosen[node.parent.number] or not c for c, node in zip(rest, nodes[1:], strict=True)):
+            best = max(best, (sum(math.log(p if c else 1 - p) for c, p in zip(rest, chance[1:], strict=True)), chosen))
+    return best[1]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_decoding_finds_the_likeliest_labelling(seed):
+    rng = random.Random(seed)
+    page = "".join(rng.choice(["<div>", "<section>", "</div>", "</section>", "<p>", "</p>", "word "]) for _ in range(rng.randrange(2, 16)))
+    nodes = html_main.parse(page)[:11]
+    chance = np.array([rng.uniform(0.05, 0.95) for _ in nodes])
+    chosen = plain_best(nodes, chance.tolist())
+    assert html_main.decode(nodes, chance) == [n.text for n, c in zip(nodes, chosen, strict=True) if c and n.tag == "#text"]
+
+
+def test_unclosed_rows_and_cells():
+    assert [n.text for n in html_main.parse("<td><tr>a<td>b<tr><tr>c</table><p>d") if n.text] == ["a", "b", "c", "d"]

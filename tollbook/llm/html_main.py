@@ -12,6 +12,8 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,10 +60,11 @@ WORDS = (
 WORD_GROUP = {w: n for n, words in enumerate(WORDS) for w in words}
 TAG_GROUP = {t: n for n, tags in enumerate(TAGS) for t in tags}
 
-TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S
+START = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][^\s/><]*)")
+QUOTE_OR_END = re.compile(r"""["'>]""")
+ATTRIBUTE = re.compile(
+    r"""(?<![-\w:.])([a-zA-Z_:][-\w:.]*+)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]++))|(?<![\w-])(hidden)(?![\w=-])"""
 )
-ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|(?<![\w-])(hidden)(?![\w=-])""")
 SPLIT = re.compile(r"[^a-z]+")
 MARK = "\x01"  # in front of main text while layouts are learned from; never seen by features
 
@@ -87,10 +90,49 @@ class Node:
             parent.children.append(self)
 
 
+class Tags:
+    """A page's tags, comments and declarations. Text of any kind takes time in proportion to its length:
+    where a tag ends, quoted parts left out, is worked out once, from the page's last quote to its first."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.marks = [m.start() for m in QUOTE_OR_END.finditer(page)]
+        # The end of a tag that reaches this mark outside of quotes, or -1.
+        self.ends = [-1] * (len(self.marks) + 1)
+        later: dict[str, int] = {}
+        for n in range(len(self.marks) - 1, -1, -1):
+            mark = page[self.marks[n]]
+            if mark == ">":
+                self.ends[n] = self.marks[n]
+            else:
+                if mark in later:
+                    self.ends[n] = self.ends[later[mark] + 1]
+                later[mark] = n
+        self.last = page.rfind(">")
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """The first one from ``at`` on: start, end, ``/`` of a closing tag, name, attributes; the name is empty for
+        comments and declarations. What is never closed is text, but for a comment, which runs to the page's end."""
+        while found := START.search(self.page, at):
+            start, at = found.span()
+            if found.group(2):
+                end = self.ends[bisect_left(self.marks, at)]
+                if end >= 0:
+                    return start, end + 1, found.group(1), found.group(2).lower(), self.page[at:end]
+            elif at - start == 4:
+                end = self.page.find("-->", at)
+                return start, end + 3 if end >= 0 else len(self.page), "", "", ""
+            elif at <= self.last:
+                return start, self.page.find(">", at) + 1, "", "", ""
+        return None
+
+
 def parse(page: str) -> list[Node]:
     """Nodes of a page in page order, the root first. Scripts, styles and the like leave nothing."""
     root = Node("#root", None)
     nodes, stack, inline = [root], [("#root", root)], []
+    opened: Counter = Counter()
+    tags = Tags(page)
     run: list[str] = []
     linked = at = in_link = 0
 
@@ -108,6 +150,7 @@ def parse(page: str) -> list[Node]:
         nonlocal in_link
         flush()
         in_link = 0
+        opened.subtract(name for name, _ in stack[index:])
         del stack[index:]
 
     def add(text: str) -> None:
@@ -118,12 +161,11 @@ def parse(page: str) -> list[Node]:
                 linked += len(text.strip())
 
     while True:
-        found = TOKEN.search(page, at)
-        add(page[at : found.start() if found else len(page)])
+        found = tags.next(at)
+        add(page[at : found[0] if found else len(page)])
         if not found:
             break
-        at = found.end()
-        end, tag, attributes = found.group(1), (found.group(2) or "").lower(), found.group(3)
+        _, at, end, tag, attributes = found
         if not tag:
             continue
         if tag in INLINE:
@@ -133,7 +175,7 @@ def parse(page: str) -> list[Node]:
                 run.append(" " if tag == "br" else "")
             continue
         if end:
-            for index in range(len(stack) - 1, 0, -1):
+            for index in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[index][0] == tag:
                     close_to(index)
                     break
@@ -145,19 +187,20 @@ def parse(page: str) -> list[Node]:
             if tag in ("textarea", "iframe", "video", "object"):
                 flush()
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and opened["p"]:
             for index in range(len(stack) - 1, 0, -1):
                 if stack[index][0] == "p":
                     close_to(index)
                     break
                 if stack[index][0] in ("td", "th", "li", "article", "div", "section"):
                     break
-        for index in range(len(stack) - 1, 0, -1):
-            if stack[index][0] in SIBLINGS.get(tag, ()):
+        siblings = SIBLINGS.get(tag, ())
+        for index in range(len(stack) - 1, 0, -1) if any(opened[name] for name in siblings) else ():
+            if stack[index][0] in siblings:
                 close_to(index)
                 if tag != "tr" or not any(s[0] in ("td", "th", "tr") for s in stack[index - 1 :]):
                     break
-            if stack[index][0] in ("ul", "ol", "dl", "table", "select", "article", "div"):
+            if index < len(stack) and stack[index][0] in ("ul", "ol", "dl", "table", "select", "article", "div"):
                 break
         flush()
         if tag in VOID:
@@ -165,6 +208,7 @@ def parse(page: str) -> list[Node]:
         node = Node(tag, stack[-1][1], attributes)
         nodes.append(node)
         stack.append((tag, node))
+        opened[tag] += 1
     flush()
     for number, node in enumerate(nodes):
         node.number = number
