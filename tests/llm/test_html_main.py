@@ -3,9 +3,11 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import re
 import time
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from tollbook.llm import html_main
@@ -130,3 +132,25 @@ def test_decoding_finds_the_likeliest_labelling(seed):
 
 def test_unclosed_rows_and_cells():
     assert [n.text for n in html_main.parse("<td><tr>a<td>b<tr><tr>c</table><p>d") if n.text] == ["a", "b", "c", "d"]
+
+
+def test_unseen_pages_with_and_without_names():
+    """Pages as they are, with an unnamed element in place of the article, and without any names."""
+    pages = [p for p in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist() if "<article" in (p or "")]
+    learnt, unseen = pages[:150], pages[150:230]
+    model = html_main.train(learnt)
+
+    def main_text(page):
+        nodes = html_main.parse(page)
+        inside = {id(next(n for n in nodes if n.tag == "article"))}
+        inside.update(id(n) for n in nodes if n.parent and id(n.parent) in inside and not inside.add(id(n)))
+        return [n.text for n in nodes if n.tag == "#text" and id(n) in inside]
+
+    neutral = lambda p: re.sub("<article[^>]*>", '<div class="c7">', p).replace("</article>", "</div>")
+    bare = lambda p: re.sub(r"""\s(?:class|id)\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]+)""", "", neutral(p))
+    for change, least in ((str, 0.97), (neutral, 0.85), (bare, 0.8)):
+        equal = 0
+        for page in unseen:
+            nodes = html_main.parse(change(page))
+            equal += html_main.decode(nodes, model.chance(html_main.features(nodes))) == main_text(page)
+        assert equal >= least * len(unseen), (change, equal / len(unseen))
