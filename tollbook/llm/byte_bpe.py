@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tollbook.llm.common import chunks, forget, map_arrow, rename_free
+from tollbook.llm.common import chunks, forget, map_arrow, rename_free, settle
 
 NONE = np.int32(2**31 - 1)
 # The split pattern for which texts may be cut at single spaces first; a fixed value.
@@ -212,6 +212,10 @@ class Encoder:
         look = self.known.__getitem__
         return [b"".join(map(look, units)) for units in cut]
 
+    def settle(self) -> None:
+        settle(self.known)
+        settle(self.pieces)
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.words.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -238,6 +242,7 @@ def encode(
             yield pa.RecordBatch.from_arrays(
                 [part["doc_id"].combine_chunks(), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"]
             )
+        encoder.settle()
 
     return map_arrow(rename_free(documents, {"doc_id": doc_id, "text": text}), run, "doc_id long, ids array<int>")
 
@@ -275,5 +280,6 @@ def encode_digest(
                 ],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        encoder.settle()
 
     return map_arrow(rename_free(documents, {"doc_id": doc_id, "text": text}), run, OUTPUT)

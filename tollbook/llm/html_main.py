@@ -66,8 +66,8 @@ ATTRIBUTE = re.compile(
     r"""(?<![-\w:.])([a-zA-Z_:][-\w:.]*+)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]++))|(?<![\w-])(hidden)(?![\w=-])"""
 )
 SPLIT = re.compile(r"[^a-z]+")
-# Share of generated layouts without classes and ids.
-NAMELESS = 0.25
+# Share of generated layouts that are learnt a second time without classes and ids.
+NAMELESS = 0.1
 MARK = "\x01"  # in front of main text while layouts are learned from; never seen by features
 
 
@@ -415,8 +415,8 @@ def _labels(nodes: list[Node], is_main) -> np.ndarray:
 
 
 def train(pages: list[str]) -> Boosted:
-    """Trees from the pages that mark their article, as they are, with the mark and with all names taken
-    away, and in generated layouts, some of them without names.
+    """Trees from the pages that mark their article, as they are and with the mark and all names taken
+    away, and in generated layouts, some of them also without names.
 
     Without such pages the layouts are filled with plain words.
     """
@@ -436,8 +436,8 @@ def train(pages: list[str]) -> Boosted:
                 if node.parent and id(node.parent) in inside:
                     inside.add(id(node))
             label = _labels(nodes, lambda n, inside=inside: id(n) in inside)
-            # The page twice, again without what names its text, and without any names.
-            for neutral in ([], [], [article], nodes):
+            # The page, and again without what names its text or any other part.
+            for neutral in ([], nodes):
                 for node in neutral:
                     node.tag, node.groups = "div" if node is article else node.tag, [0] * len(WORDS)
                 x.append(features(nodes))
@@ -450,12 +450,15 @@ def train(pages: list[str]) -> Boosted:
                 some = [(tag, " ".join(text.split()[: rng.randint(1, 8)])) for tag, text in some]
             made = parse(layout(some, rest, others, rng))
             label = _labels(made, lambda n: MARK in n.text)
-            nameless = rng.random() < NAMELESS
             for node in made:
                 node.text = node.text.replace(MARK, "").strip()
-                node.groups = [0] * len(WORDS) if nameless else node.groups
             x.append(features(made))
             y.append(label)
+            if rng.random() < NAMELESS:
+                for node in made:
+                    node.groups = [0] * len(WORDS)
+                x.append(features(made))
+                y.append(label)
     return Boosted.fit(np.concatenate(x), np.concatenate(y))
 
 

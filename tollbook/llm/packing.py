@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tollbook.llm.common import chunks, forget, map_arrow, rename_free, session_of, written
+from tollbook.llm.common import chunks, forget, map_arrow, rename_free, session_of, settle, written
 
 CAPACITY = 2048
 PARTITION_PIECES = 20_000
@@ -135,6 +135,7 @@ def pieces(
                 columns.append(pa.array([np.frombuffer(x, "<u4") for x in rows[5]], pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+        settle(model.known)
 
     schema = PIECES + ", ids array<int>" * with_ids
     return map_arrow(rename_free(documents, {"doc_id": doc_id, "text": text}), run, schema)

@@ -24,7 +24,7 @@ ORDER = 4
 # Stands in front of a text, where a context would reach beyond its beginning.
 START = "\x02"
 # Characters of text in a block, of which a task holds one, and in a part that is counted at once.
-BLOCK_CHARS, PART_CHARS = 16_000_000, 1_500_000
+BLOCK_CHARS, PART_CHARS = 12_000_000, 1_500_000
 # Characters at a language's mean that a text is extended by, so that few characters decide little.
 SMOOTHING_CHARS = 40
 KEPT_QUANTILE = 0.995
