@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tollbook.llm.common import chunks, forget, map_arrow, rename_free, settle
+from tollbook.llm.common import chunks, forget, map_arrow, rename_free
 
 NONE = np.int32(2**31 - 1)
 # The split pattern for which texts may be cut at single spaces first; a fixed value.
@@ -212,9 +212,10 @@ class Encoder:
         look = self.known.__getitem__
         return [b"".join(map(look, units)) for units in cut]
 
-    def settle(self) -> None:
-        settle(self.known)
-        settle(self.pieces)
+    def clear(self) -> None:
+        """At the end of a task: the worker has other work to do before the next one of this kind."""
+        self.known.clear()
+        self.pieces.clear()
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.words.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -222,7 +223,7 @@ class Encoder:
 
 @lru_cache(maxsize=4)
 def encoder_of(path: str, pattern: str) -> Encoder:
-    """One encoder a worker process, with the words that its tasks have met."""
+    """One encoder a worker process."""
     return Encoder(path, pattern)
 
 
@@ -242,7 +243,7 @@ def encode(
             yield pa.RecordBatch.from_arrays(
                 [part["doc_id"].combine_chunks(), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"]
             )
-        encoder.settle()
+        encoder.clear()
 
     return map_arrow(rename_free(documents, {"doc_id": doc_id, "text": text}), run, "doc_id long, ids array<int>")
 
@@ -280,6 +281,6 @@ def encode_digest(
                 ],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
-        encoder.settle()
+        encoder.clear()
 
     return map_arrow(rename_free(documents, {"doc_id": doc_id, "text": text}), run, OUTPUT)

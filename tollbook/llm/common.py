@@ -60,13 +60,6 @@ def forget(known: dict, most: int) -> None:
             del known[key]
 
 
-def settle(known: dict, most: int = 50_000) -> None:
-    """At the end of a task keep what was met first, which is the most frequent; the worker has other
-    work to do between the tasks that can use it."""
-    for key in list(islice(known, most, None)):
-        del known[key]
-
-
 def written(frame: DataFrame, purpose: str) -> DataFrame:
     """The frame as stored in the shared folder: lineage is cut and lost executors cost nothing."""
     spark = session_of(frame)

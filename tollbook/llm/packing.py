@@ -20,14 +20,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tollbook.llm.common import chunks, forget, map_arrow, rename_free, session_of, settle, written
+from tollbook.llm.common import chunks, forget, map_arrow, rename_free, session_of, written
 
 CAPACITY = 2048
 PARTITION_PIECES = 20_000
 POOL = 8
 # A partition gives back at most so many pieces, so that a pool of eight stays bounded.
 MOST_RETURNED = PARTITION_PIECES // POOL
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, pool long, bin long, offset long, open boolean, bins long, bound long"
 # Punctuation that ends a word and is always a token run of its own.
@@ -96,7 +96,7 @@ class WordTokenizer:
 
 @lru_cache(maxsize=4)
 def word_tokenizer(path: str) -> WordTokenizer:
-    """One tokenizer a worker process, with the words that its tasks have met."""
+    """One tokenizer a worker process."""
     return WordTokenizer(path)
 
 
@@ -135,7 +135,8 @@ def pieces(
                 columns.append(pa.array([np.frombuffer(x, "<u4") for x in rows[5]], pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
-        settle(model.known)
+        # The worker has other work to do before the next such task.
+        model.known.clear()
 
     schema = PIECES + ", ids array<int>" * with_ids
     return map_arrow(rename_free(documents, {"doc_id": doc_id, "text": text}), run, schema)

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tollbook.llm.common import chunks, forget, map_arrow, rename_free, settle
+from tollbook.llm.common import chunks, forget, map_arrow, rename_free
 
 SPACE = "▁"
 # Units and pairs a worker remembers; the older half goes when there are more.
@@ -211,8 +211,9 @@ def prefix_counts(documents: DataFrame, model: str, doc_id: str = "doc_id", text
             if keep_steps:
                 columns.append(pa.array(steps, pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens", "steps"][: len(columns)])
-        settle(own.known)
-        settle(own.apart)
+        # The worker has other work to do before the next such task.
+        own.known.clear()
+        own.apart.clear()
 
     schema = PREFIXES if keep_steps else PREFIXES.rpartition(",")[0]
     rows = rename_free(documents, {"doc_id": doc_id, "text": text})
