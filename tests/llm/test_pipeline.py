@@ -68,6 +68,6 @@ def test_run_is_the_stages(spark, folder):
 
 def test_all_are_registered():
     names = [n for n in __spark_entry__.queries() if n.startswith("op") and n[2].isdigit()]
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14))
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
     assert set(registered.llm_oracles()) <= set(names)
