@@ -39,6 +39,27 @@ def test_space_of_all_kinds_and_long_words():
         assert np.frombuffer(data[start:end], "<u4").tolist() == model.model.encode(text, add_special_tokens=False).ids
 
 
+def test_latin_words_go_to_the_merges(library):
+    letters = [chr(n) for n in range(0x100) if packing.LATIN.fullmatch(chr(n))]
+    words = [*letters, "".join(letters), "\u00c9t\u00e9", "stra\u00dfe", "WORD", "w" * 300, "oe\u00ff", "I"]
+    model = packing.WordTokenizer(PATH)
+    whole, texts = model.model, []
+
+    class Watched:
+        def encode(self, text, **more):
+            texts.append(text)
+            return whole.encode(text, **more)
+
+        def encode_batch(self, parts, **more):
+            texts.extend(parts)
+            return whole.encode_batch(parts, **more)
+
+    model.model = Watched()
+    got = model.learn(words)
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in got] == [library(w) for w in words]
+    assert not texts
+
+
 def test_cache_is_bounded(monkeypatch):
     monkeypatch.setattr(packing, "CACHE_WORDS", 4)
     model = packing.WordTokenizer(PATH)

@@ -9,7 +9,9 @@ pack it again, and so on until one pool is left.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,6 +35,8 @@ PACKED = f"{PIECES}, pool long, bin long, offset long, open boolean, bins long,
 # Punctuation that ends a word and is always a token run of its own.
 TAIL = ".,;:!?*#$%&|"
 CLOSING = rf"(\pL)([{TAIL}]+)([\t\n\v\f\r ]|$)"
+# Words of these letters are one token run and in normal form.
+LATIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 
 
 class WordTokenizer:
@@ -41,17 +45,25 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
+        self.merge = self.model.model.tokenize
+        # The vocabulary spells the UTF-8 bytes of lower case.
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        letters = [c for c in map(chr, range(0x100)) if LATIN.fullmatch(c)]
+        self.spelled = str.maketrans({c: spell(c.lower())[0][0] for c in letters})
         self.known: dict[str, bytes] = {}
 
     def _ids(self, parts: list[str]) -> list[bytes]:
-        """Ids of each part. Parts of letters or of closing marks only are one token run each, so
+        """Ids of each part. Latin words go to the merges at once, without the library's look at
+        normal forms and runs. Other parts of letters or of closing marks only are one token run each, so
         they go through the tokenizer as one text."""
-        plain = [p for p in parts if p.isalpha() or not p.strip(TAIL)]
         found: dict[str, bytes] = {}
+        for part in filter(LATIN.fullmatch, parts):
+            found[part] = array("I", [token.id for token in self.merge(part.translate(self.spelled))]).tobytes()
+        plain = [p for p in parts if p not in found and (p.isalpha() or not p.strip(TAIL))]
         for start in range(0, len(plain), 5_000):
             some = plain[start : start + 5_000]
             one = self.model.encode(" ".join(some), add_special_tokens=False)
