@@ -71,3 +71,21 @@ def test_chunks_are_bounded_and_whole(monkeypatch):
     batch = pa.RecordBatch.from_pydict({"text": ["abcd", None, "efgh", "x" * 50, "", "ij"]})
     parts = [t["text"].to_pylist() for t in common.chunks(iter([batch, batch.slice(0, 0)]), "text")]
     assert parts == [["abcd", None, "efgh"], ["x" * 50], ["", "ij"]]
+
+
+def test_workers_get_bounded_batches(spark):
+    rows = spark.range(400, numPartitions=1).selectExpr("id", "repeat('x', 100000) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64()), "bytes": pa.array([batch.nbytes], pa.int64())})
+
+    spark.conf.unset(common.BATCH_SETTING)
+    got = common.map_arrow(rows, sizes, "n long, bytes long").collect()
+    assert sum(r["n"] for r in got) == 400
+    assert max(r["bytes"] for r in got) <= common.BATCH_BYTES + 200_000
+    # What the session says holds.
+    spark.conf.set(common.BATCH_SETTING, str(1 << 20))
+    got = common.map_arrow(rows, sizes, "n long, bytes long").collect()
+    assert max(r["bytes"] for r in got) <= 1_300_000
+    spark.conf.unset(common.BATCH_SETTING)

@@ -209,5 +209,4 @@ def keep(documents: DataFrame, model: Model, text: str = "text", reject_at: floa
             values = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
             yield from part.filter(pa.array(values < reject_at)).to_batches()
 
-    session_of(documents)
-    return documents.mapInArrow(run, schema)
+    return map_arrow(documents, run, schema)
