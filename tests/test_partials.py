@@ -6,10 +6,15 @@ import random
 import re
 from datetime import datetime, timedelta
 from decimal import Decimal
+from pathlib import Path
+from threading import Barrier
 
+import pyarrow.parquet as pq
 import pytest
 
 from star_rows import event, rows_of
+from tollbook.functions.folds import FOLDS
+from tollbook.plans import partials
 from tollbook.plans.partials import approximate_spending, load_partials, refresh_partials, tables_with_partials
 from tollbook.plans.reports import REPORTS
 from tollbook.sources.tables import append_table, create_store, load_tables, reset_facts
@@ -115,3 +120,54 @@ def test_sketches_stay_within_their_error(spark, star, tmp_path):
         months[key] = months.get(key, Decimal(0)) + e["deduct_amount"]
     for share, value in zip((0.1, 0.5, 0.9), got["spending"], strict=True):
         assert abs(sum(float(m) <= value for m in months.values()) / len(months) - share) < 0.02
+
+
+def test_folds_run_side_by_side(spark, store, monkeypatch):
+    root, append = store
+    append(some_events(random.Random(5), 50, 0, datetime(2024, 4, 1), 60))
+    together = Barrier(len(FOLDS), timeout=60)
+
+    def met(fold):
+        return lambda facts: together.wait() is not None and fold(facts)
+
+    monkeypatch.setattr(partials, "FOLDS", {name: met(fold) for name, fold in FOLDS.items()})
+    assert refresh_partials(spark, root) == ["2024-04", "2024-05"]
+    same_reports(spark, root)
+
+
+def test_a_failed_fold_is_raised_and_made_good(spark, store, monkeypatch):
+    root, append = store
+    append(some_events(random.Random(6), 50, 0, datetime(2024, 4, 1), 60))
+
+    def cut_short(facts):
+        raise ValueError("cut short")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(partials, "FOLDS", {**FOLDS, "offer_months": cut_short})
+        with pytest.raises(ValueError, match="cut short"):
+            refresh_partials(spark, root)
+    assert refresh_partials(spark, root) == ["2024-04", "2024-05"]
+    same_reports(spark, root)
+
+
+def test_stored_partials_lie_by_customer(spark, store):
+    root, append = store
+    append(some_events(random.Random(7), 400, 0, datetime(2024, 4, 1), 60))
+    refresh_partials(spark, root)
+    for name in FOLDS:
+        files = list(Path(root, "_partials", name).glob("event_month=*/*.parquet"))
+        assert files
+        for file in files:
+            customers = pq.ParquetFile(file).read(["cust_num"])["cust_num"].to_pylist()
+            assert customers == sorted(customers), name
+
+
+def test_ids_of_facts_are_stored_plainly(store):
+    root, append = store
+    append(some_events(random.Random(8), 400, 0, datetime(2024, 4, 1), 60))
+    for file in Path(root, "cdr_events").glob("event_month=*/*.parquet"):
+        group = pq.ParquetFile(file).metadata.row_group(0)
+        held = {c.path_in_schema: c.encodings for c in map(group.column, range(group.num_columns))}
+        for column in ("cdr_id", "cdr_event_id"):
+            assert not any("DICTIONARY" in encoding for encoding in held[column])
+        assert any("DICTIONARY" in encoding for encoding in held["cust_num"])

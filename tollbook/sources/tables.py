@@ -53,7 +53,8 @@ def append_table(frame: DataFrame, root: str, name: str) -> None:
 
     Facts are gathered by month first, so a load leaves few files per month and not one per
     task and month; the rebalance splits a month that is too large for one task. Sorting by
-    customer gives the files narrow customer ranges for scans to skip by.
+    customer gives the files narrow customer ranges for scans to skip by. Ids no two facts share
+    are stored plainly, without trying a dictionary first.
     """
     columns = [field.name for field in LAYOUTS[name].fields]
     if name == "cdr_events":
@@ -61,6 +62,8 @@ def append_table(frame: DataFrame, root: str, name: str) -> None:
         gathered = stored.hint("rebalance", F.col(EVENT_MONTH))
         ordered = gathered.sortWithinPartitions(EVENT_MONTH, "cust_num")
         writer = ordered.write.partitionBy(EVENT_MONTH)
+        for column in ("cdr_event_id", "cdr_id"):
+            writer = writer.option(f"parquet.enable.dictionary#{column}", "false")
     else:
         writer = frame.select(columns).write
     writer.mode("append").parquet(table_path(root, name))
