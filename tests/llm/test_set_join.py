@@ -159,3 +159,87 @@ def test_keep_one_goes_by_row(documents):
     a, b, c = (" ".join(f"{x}{n}" for n in range(30)) for x in "abc")
     kept = set_join.keep_one(documents([(1, a), (2, b), (2, c), (3, b), (5, a), (5, c + " more"), (2, c)]), 5, 80)
     assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(1, a), (2, b), (2, c)]
+
+
+def test_large_clusters_do_not_multiply_texts(documents, monkeypatch):
+    """Texts that share a passage, not enough to link, do not meet in all pairs of blocks, and texts of sizes too far apart never do."""
+    monkeypatch.setattr(set_join, "BLOCK_SETS", 8)
+    units, written = [], set_join.written
+
+    def counted(frame, purpose, *folders):
+        out = written(frame, purpose, *folders)
+        if purpose == "cluster-members":
+            units.append(out.count())
+        return out
+
+    monkeypatch.setattr(set_join, "written", counted)
+    passage = [f"p{n}" for n in range(14)]
+
+    def shared(size):
+        return [(n, " ".join([*passage, *(f"u{n}x{k}" for k in range(8 + n % 5))])) for n in range(size)]
+
+    for size in (80, 160):
+        rows = shared(size)
+        assert got(documents(rows), 4, 85) == brute(rows, 4, 85)
+    assert units[1] <= 2 * units[0] + 16 <= 2 * 80 + 16
+    # True copies in blocks by size: each block meets only those of like size.
+    units.clear()
+    word = [f"v{n}" for n in range(400)]
+    rows = [(n, " ".join(word[: 20 + 4 * n])) for n in range(90)]
+    assert got(documents(rows), 4, 85) == brute(rows, 4, 85)
+    assert units[0] < 90 * 6
+
+
+def test_chains_connect_all_that_may_link():
+    """Against all pairs of each list, in batches of every size."""
+    rng = np.random.default_rng(3)
+    for percent, size in ((80, 1), (85, 3), (60, 7), (80, 400)):
+        rows = []
+        for token in range(12):
+            for sid in rng.permutation(60)[: rng.integers(1, 40)]:
+                n = int(rng.integers(5, 60))
+                place = int(rng.integers(0, n - -(-percent * n // 100) + 1))
+                rows.append((token, n, int(sid) + 100 * token, ((100 + percent) * (n - place) - percent * n) // percent))
+        rows.sort(key=lambda r: r[:3])
+        batches = [
+            pa.RecordBatch.from_pydict({c: pa.array([r[k] for r in rows[at : at + size]], pa.int64()) for k, c in enumerate(("token", "n", "sid", "most"))})
+            for at in range(0, len(rows), size)
+        ]
+        group = {r[2]: r[2] for r in rows}
+
+        def find(n, group=group):
+            while group[n] != n:
+                n = group[n]
+            return n
+
+        ties = [(r["a"], r["b"]) for b in set_join._chains(percent)(iter(batches)) for r in b.to_pylist()]
+        for a, b in ties:
+            a, b = find(a), find(b)
+            group[max(a, b)] = min(a, b)
+        pairs = [(x, y) for n, y in enumerate(rows) for x in rows[:n] if x[0] == y[0] and 100 * x[1] >= percent * y[1]]
+        able = [(x[2], y[2]) for x, y in pairs if x[1] <= y[3] and y[1] <= x[3]]
+        assert able and all(find(a) == find(b) for a, b in able)
+        assert all(a // 100 == b // 100 for a, b in ties) and len(ties) < len(rows)
+
+
+def test_keep_one_moves_only_rows_that_may_go(spark, documents):
+    """Texts of rows that stay go to no shuffle."""
+    rows = [(n, f"alone {n} " * 9) for n in range(50)] + [(100 + n, "twice over and over " * 9) for n in range(2)]
+    kept = set_join.keep_one(documents(rows), 5, 80)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["doc_id"] for r in kept.collect()) == [*range(50), 100]
+    # One branch has no join but the one with the filter's bits.
+    assert "Union" in plan and "Join" in plan.split("Union")[1]
+
+
+def test_stored_steps_leave_no_shuffle_files(tmp_path, spark):
+    from pyspark.sql import functions as F
+
+    from tollbook.llm import common
+
+    before = spark.conf.get(common.CLEAN_SETTING)
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    held = tracker.shuffleStatuses().size()
+    out = common.written(spark.range(1_000).repartition(7, "id").groupBy((F.col("id") % 10).alias("k")).count(), "clean")
+    assert out.count() == 10 and spark.conf.get(common.CLEAN_SETTING) == before
+    assert tracker.shuffleStatuses().size() <= held + 1
